@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .license_scan import op9_license_scan
+from .quality_rules import op7_quality_rules
 from .similarity_join import op10_ngram_jaccard_join
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
