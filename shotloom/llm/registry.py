@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bin_packing import op8_bin_packing
 from .license_scan import op9_license_scan
 from .quality_rules import op7_quality_rules
 from .similarity_join import op10_ngram_jaccard_join
+from .source_mixing import op3_source_mixing
 
 QUERIES = {
+    "op3_source_mixing": op3_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bin_packing": op8_bin_packing,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
