@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .bin_packing import op8_bin_packing
+from .decontaminate import op1_decontaminate
+from .language_mixture import op6_language_mixture
 from .license_scan import op9_license_scan
 from .pseudonyms import op4_feistel_pseudonyms
 from .quality_rules import op7_quality_rules
 from .similarity_join import op10_ngram_jaccard_join
 from .source_mixing import op3_source_mixing
+from .token_counts import op2_token_counts
 from .url_filters import op5_url_filters
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_url_filters": op5_url_filters,
+    "op6_language_mixture": op6_language_mixture,
     "op7_quality_rules": op7_quality_rules,
     "op8_bin_packing": op8_bin_packing,
     "op9_license_scan": op9_license_scan,
