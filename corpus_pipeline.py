@@ -1,10 +1,68 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, source mixing, sharding."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, source mixing, sharding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
+in the shared folder and hands the reread table to the next. All but the last return the columns of
+documents. SQL can't express the learned, iterative and packed stages, so ORACLE_SQL is None;
+tests/llm compares the stages with brute-force versions.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shotloom.llm import common as C
+from shotloom.llm.bin_packing import pack
+from shotloom.llm.decontaminate import contaminated
+from shotloom.llm.quality_rules import quality_rules
+from shotloom.llm.similarity_join import ngram_jaccard_join
+from shotloom.llm.source_mixing import mix_sources
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    found = quality_rules(docs, C.table(spark, sf_dir, "labels"))
+    return found.where("kept").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component of near copies; rows without an id can't be told apart and go."""
+    found = ngram_jaccard_join(docs.select("doc_id", "text"))
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    found = contaminated(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it; rows that share id and text are taken alike."""
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(taken.where("__copies > 0"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every document."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", one_of_each),
+    ("decontaminate", drop_contaminated),
+    ("source_mixing", mix),
+    ("bin_packing", shard),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = C.cut(stage(spark, docs, sf_dir))
+    return docs
