@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import functions, graph, ingest, register, retrieval, timeline  # noqa: F401  (each registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(register.ORACLES)
