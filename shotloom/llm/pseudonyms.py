@@ -25,10 +25,12 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,})\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 DATE = r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b"
+DAY_FIRST = r"(?<![0-9./])[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.)(?:19|20)[0-9]{2}(?![0-9])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])"
-NUMBER = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?)?[0-9]{2,}(?:[ .\-][0-9]{2,}){0,5}(?![0-9A-Za-z])"
+CARD = r"(?<![0-9A-Za-z])(?:[0-9]{7,}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7})(?![0-9A-Za-z])"
+NUMBER = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?)?[0-9]{2,6}(?:[ .\-][0-9]{2,6}){0,4}(?![0-9A-Za-z])"
 #: Tried in this order at each place.
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IPV4, NUMBER))
+PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, DAY_FIRST, IPV4, CARD, NUMBER))
 #: Fewest digits of a number that is taken for a phone, card, account or identity number.
 MIN_DIGITS = 7
 
@@ -102,7 +104,7 @@ def _number(m, key: str):
     card = n.between(13, 19) & (luhn_sum(digits) == 0)
 
     def valid(d):
-        body = F.concat(F.substring(d, 1, 0), permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key + "card"))
+        body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key + "card")
         return let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
     return F.when(n < MIN_DIGITS, m).otherwise(_refill(m, F.when(card, let(digits, valid)).otherwise(permute_digits(digits, key + "number"))))
@@ -113,11 +115,29 @@ def _walk(start, good, step, most: int = 40):
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), step(start), lambda a, _: F.when(good(a), a).otherwise(step(a)))
 
 
+def _moved_day(day, key: str):
+    """Days from 1900-01-01 to 2099-12-31 (73,049), permuted by walking the cycles of a 271 x 271 network."""
+    return _walk(day, lambda x: x < 73049, lambda x: feistel(x, 271, 271, key + "date"))
+
+
+def _days(text, layout: str):
+    return F.datediff(F.try_to_timestamp(text, F.lit(layout)).cast("date"), F.lit("1900-01-01").cast("date")).cast("long")
+
+
 def _date(m, key: str):
-    """Days from 1900-01-01 to 2099-12-31 (73,049), permuted by walking a 512 x 512 network's cycles."""
-    day = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date")).cast("long")
-    moved = _walk(day, lambda x: x < 73049, lambda x: feistel(x, 271, 271, key + "date"))
-    return F.when(day.isNull(), _refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), key + "number"))).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), moved.cast("int")).cast("string"))
+    """A valid date stays valid in its layout; what only looks like one has its digits permuted."""
+    dotted = F.regexp_replace(m, "[/.]", "/")
+    day_first, month_first = _days(dotted, "d/M/yyyy"), _days(dotted, "M/d/yyyy")
+    back = lambda d: F.date_add(F.lit("1900-01-01").cast("date"), _moved_day(d, key).cast("int"))
+    sign = F.when(F.contains(m, F.lit("/")), "/").otherwise(".")
+    other = _refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), key + "number"))
+    iso = _days(m, "yyyy-MM-dd")
+    return (
+        F.when(F.contains(m, F.lit("-")), F.when(iso.isNull(), other).otherwise(back(iso).cast("string")))
+        .when(day_first.isNotNull(), F.replace(F.date_format(back(day_first), "dd/MM/yyyy"), F.lit("/"), sign))
+        .when(month_first.isNotNull(), F.replace(F.date_format(back(month_first), "MM/dd/yyyy"), F.lit("/"), sign))
+        .otherwise(other)
+    )
 
 
 def _ip(m, key: str):
@@ -127,18 +147,20 @@ def _ip(m, key: str):
     return let(moved, lambda v: F.array_join(F.transform(F.array(F.lit(24), F.lit(16), F.lit(8), F.lit(0)), lambda s: F.pmod(F.floor(v / F.pow(F.lit(2.0), s)).cast("long"), F.lit(256)).cast("string")), "."))
 
 
-_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS, _SMALL, _LARGE, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
-def _symbols(s, alphabet: str, key: str):
-    """Each symbol of the alphabet is moved by a keystream that the rest of the string determines: two passes, one from either end, so it can be undone and every symbol counts."""
-    size = len(alphabet)
+def _symbols(s, alphabets: tuple[str, ...], key: str):
+    """Each symbol moves within its alphabet by a keystream of all symbols before it; two sweeps, one from either end, so that every symbol counts and the change can be undone."""
 
     def sweep(text, salt):
         def step(acc, ch):
-            at = F.instr(F.lit(alphabet), ch) - 1
-            moved = F.substring(F.lit(alphabet), F.pmod(at + _round_value(key, F.lit(salt), acc, F.lit(size)), F.lit(size)).cast("int") + 1, 1)
-            return F.concat(acc, F.when(at < 0, ch).otherwise(moved))
+            moved = ch
+            for own in alphabets:
+                at = F.instr(F.lit(own), ch) - 1
+                to = F.substring(F.lit(own), F.pmod(at + _round_value(key, F.lit(salt), acc, F.lit(len(own))), F.lit(len(own))).cast("int") + 1, 1)
+                moved = F.when(at >= 0, to).otherwise(moved)
+            return F.concat(acc, moved)
 
         return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(""), step)
 
@@ -150,7 +172,8 @@ def _email(m, key: str):
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     top = F.substring_index(domain, ".", -1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_symbols(local, _ALPHABET[:36] + _ALPHABET[36:], key + "local"), F.lit("@"), _symbols(head, _ALPHABET[:36], key + "domain"), top)
+    classes = (_DIGITS, _SMALL, _LARGE)
+    return F.concat(_symbols(local, classes, key + "local"), F.lit("@"), _symbols(head, classes, key + "domain"), top)
 
 
 def pseudonym(m, key: str = KEY):
@@ -158,10 +181,11 @@ def pseudonym(m, key: str = KEY):
     hexes = m.rlike(r"\A[0-9a-f]{32,}\z")
     return (
         F.when(F.contains(m, F.lit("@")), _email(m, key))
-        .when(m.rlike(_whole(DATE)), _date(m, key))
+        .when(m.rlike(_whole(DATE)) | m.rlike(_whole(DAY_FIRST)), _date(m, key))
         .when(m.rlike(_whole(IPV4)), _ip(m, key))
-        .when(hexes, _symbols(m, "0123456789abcdef", key + "hex"))
-        .when(m.rlike("[A-Za-z]"), _symbols(m, _ALPHABET, key + "secret"))
+        .when(hexes, _symbols(m, (_HEX,), key + "hex"))
+        .when(m.rlike(_whole(IBAN)), F.concat(F.left(m, F.lit(2)), _symbols(F.substr(m, F.lit(3)), (_DIGITS, _LARGE), key + "iban")))
+        .when(m.rlike("[A-Za-z]"), _symbols(m, (_DIGITS, _SMALL, _LARGE), key + "secret"))
         .otherwise(_number(m, key))
     )
 
