@@ -10,8 +10,9 @@ sets form a class, and only classes are joined.
 2. Star round: in each list, members are paired with the list's first member and with their
    predecessor, which is linear in the list. Pairs that hold are joined to components.
 3. Rest round: members of one list that are in different components are paired where sizes,
-   positions and folded bitmaps allow the similarity (all three are bounds, none loses a link).
-4. Verification cuts the hash order into fragments. Each fragment counts its part of a pair's
+   positions and parity maps allow the similarity (all three are bounds, none loses a link).
+4. Every pair is held against wider parity maps, as many bits as the sets have n-grams.
+5. Verification cuts the hash order into fragments. Each fragment counts its part of a pair's
    overlap by itself; the partial counts are summed per pair and tested exactly.
 
 Pairs inside one component are not enumerated, so a large group of near copies costs its size,
@@ -29,15 +30,15 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import connected_components
 
-#: Number of hashed counters for the global order: 4 MB as sent to each executor, whatever the input.
-COUNTER_BITS = 22
+#: Number of hashed counters for the global order: 16 MB as sent to each executor, whatever the input.
+COUNTER_BITS = 24
 BLOCK = 1 << 18
 #: Fragments of the hash order in verification.
 FRAGMENTS = 8
 #: Classes of one posting list that share a salt.
 SALT_ROWS = 100_000
-#: Candidate ids are broadcast up to this number, 8 MB; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+#: Candidate pairs are broadcast up to this number, 16 MB; beyond it the join shuffles.
+BROADCAST_PAIRS = 250_000
 
 
 def shingle_sets(column, n: int):
@@ -71,14 +72,15 @@ def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.
 
         def flush():
             if parts:
-                np.add(total, np.bincount(np.concatenate(parts), minlength=size).astype(np.uint32), out=total)
+                at, times = np.unique(np.concatenate(parts), return_counts=True)
+                total[at] += times.astype(np.uint32)
                 parts.clear()
 
         for batch in batches:
             for _, own in shingle_sets(batch.column(0), n):
                 parts.append((own & np.uint64(size - 1)).astype(np.int32))
                 held += len(own)
-                if held >= size // 2:
+                if held >= 1 << 21:
                     flush()
                     held = 0
         flush()
@@ -107,11 +109,23 @@ def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.
     return np.floor(np.log2(np.maximum(total / mean, 1))).astype(np.uint8), mean
 
 
-_PROFILE = "doc_id long, n long, s1 long, s2 long, bits array<long>, prefix array<long>, salts array<int>"
+_PROFILE = "doc_id long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
+
+
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams of each hash class, as bytes; the classes are a power of two, 512 and the set's size at least."""
+    classes = max(512, 1 << int(len(own) - 1).bit_length()) if len(own) else 512
+    at = (own >> np.uint64(20)).astype(np.int64) & (classes - 1)
+    return np.packbits((np.bincount(at, minlength=classes) & 1).astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The map as if made with fewer classes (size in bytes)."""
+    return bits if len(bits) == size else np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def _profiles(docs: DataFrame, n: int, percent: int, levels, mean: float) -> DataFrame:
-    """One row a document: set size, 128-bit signature, folded 512-bit map, and the prefix in the global order with the salt count of each."""
+    """One row a document: set size, 128-bit signature, parity map and its fold to 512 bits, and the prefix in the global order with the salt count of each."""
 
     def make(batches):
         import pyarrow as pa
@@ -120,18 +134,18 @@ def _profiles(docs: DataFrame, n: int, percent: int, levels, mean: float) -> Dat
         mask = np.uint64(len(level) - 1)
         for batch in batches:
             ids = batch.column(0)
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for r, own in shingle_sets(batch.column(1), n):
                 size = len(own)
                 need = (percent * size + 99) // 100
-                bits = np.bincount((own >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
+                wide = parity_map(own)
                 lev = level[(own & mask).astype(np.int64)]
                 first = np.argsort(lev, kind="stable")[: size - need + 1] if size else np.zeros(0, np.int64)
                 salts = np.maximum(1, np.exp2(lev[first].astype(np.float64) + 1) * mean / SALT_ROWS)
-                for c, v in zip(cols, (size, own.sum(dtype=np.uint64).astype(np.int64) if size else 0, np.bitwise_xor.reduce(C.mix(own)).astype(np.int64) if size else 0, np.packbits(bits.astype(np.uint8)).view(np.int64), own[first].astype(np.int64), salts.astype(np.int32)), strict=True):
+                for c, v in zip(cols, (size, own.sum(dtype=np.uint64).astype(np.int64) if size else 0, np.bitwise_xor.reduce(C.mix(own)).astype(np.int64) if size else 0, wide.tobytes(), folded(wide, 64).view(np.int64), own[first].astype(np.int64), salts.astype(np.int32)), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "s1", "s2", "bits", "prefix", "salts"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "s1", "s2", "wide", "bits", "prefix", "salts"])
 
     return docs.select("doc_id", "text").mapInArrow(make, _PROFILE)
 
@@ -148,7 +162,7 @@ def _possible(a: str, b: str, percent: int, positions: bool = True) -> F.Column:
 def _apart(a: str, b: str, percent: int) -> F.Column:
     """Most n-grams that may be in one set only."""
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    return both - 2 * F.ceil(both * percent / (100.0 + percent) - 1e-9)
+    return both - 2 * F.floor((both * percent + 99 + percent) / (100.0 + percent))
 
 
 def _maps_allow(a: str, b: str, percent: int) -> F.Column:
@@ -157,42 +171,63 @@ def _maps_allow(a: str, b: str, percent: int) -> F.Column:
     return differ <= _apart(a, b, percent)
 
 
+def _pruned(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the wide maps allow, with sizes na and nb; written to shared storage."""
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            most = na + nb - 2 * (((na + nb) * percent + 99 + percent) // (100 + percent))
+            good = []
+            for x, y, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True):
+                u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(u), len(v))
+                good.append(int(np.bitwise_count((folded(u, size) ^ folded(v, size)).view(np.uint64)).sum()) <= d)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(good, pa.bool_()))
+
+    x = maps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    y = maps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
+    return C.cut(both.mapInArrow(keep, "a long, b long, na long, nb long"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose similarity holds; overlaps are counted in each fragment of the order and summed."""
-    ids = C.cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    """The pairs (a, b) of (a, b, na, nb) whose similarity holds; overlaps are counted in each fragment of the order and summed."""
+    sides = pairs.select(F.col("a").alias("doc_id"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b", F.lit(1).alias("side")))
+    few = pairs.count() <= BROADCAST_PAIRS
+    wanted = docs.join(F.broadcast(sides) if few else sides, "doc_id").select("text", "a", "b", "side")
     shift = np.uint64(64 - int(np.log2(FRAGMENTS)))
+    names = ["a", "b", "side", "fragment", "grams"]
 
     def cut_up(batches):
         import pyarrow as pa
 
+        def rows(out):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [])
-            held = 0
-            for r, own in shingle_sets(batch.column(1), n):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+            out, held = tuple([] for _ in names), 0
+            for r, own in shingle_sets(batch.column(0), n):
                 edge = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
                 for f in range(FRAGMENTS):
                     if edge[f] < edge[f + 1]:
-                        for c, v in zip(out, (ids[r], f, own[edge[f] : edge[f + 1]].view(np.int64)), strict=True):
+                        for c, v in zip(out, (*keys[r], f, own[edge[f] : edge[f + 1]].view(np.int64)), strict=True):
                             c.append(v)
-                        held += int(edge[f + 1] - edge[f])
+                held += len(own)
                 if held > 500_000:
-                    yield _segments(out)
-                    out, held = ([], [], []), 0
+                    yield rows(out)
+                    out, held = tuple([] for _ in names), 0
             if out[0]:
-                yield _segments(out)
-
-    def _segments(out):
-        import pyarrow as pa
-
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["id", "fragment", "grams"])
+                yield rows(out)
 
-    cuts = C.cut(wanted.mapInArrow(cut_up, "id long, fragment int, grams array<long>").dropDuplicates(["id", "fragment"]))
-    left = pairs.join(cuts.withColumnRenamed("id", "a"), "a")
-    right = cuts.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("other"))
-    part = left.join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("grams", "other")).cast("long").alias("part"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    cuts = wanted.mapInArrow(cut_up, "a long, b long, side int, fragment int, grams array<long>")
+    one = lambda k: F.first(F.when(F.col("side") == k, F.col("grams")), ignorenulls=True)
+    part = cuts.groupBy("a", "b", "fragment").agg(F.size(F.array_intersect(one(0), one(1))).cast("long").alias("part"))
+    total = part.where("part > 0").groupBy("a", "b").agg(F.sum("part").alias("both")).join(pairs, ["a", "b"])
     return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
@@ -224,10 +259,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     star = lists.where("last is not null").select(F.explode(F.array("last", "head")).alias("x"), me.alias("y")).unionByName(across)
     star = star.where("x.cls <> y.cls").where(_possible("x", "y", percent))
     star = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    maps = heads.select("cls", "n", "bits")
-    maps = C.cut(maps)
-    star = star.join(maps.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y")), "b")
-    star = C.cut(star.where(_maps_allow("x", "y", percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
+    maps = C.cut(heads.select("cls", "n", "wide", "bits"))
+    star = _pruned(star, maps, percent)
     links = C.cut(_verified(docs, star, n, percent))
     found = C.cut(connected_components(links))
 
@@ -238,8 +271,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     x = members.select("gram", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
     y = members.select(F.col("gram").alias("other"), F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("v").alias("y"))
     rest = x.join(y, (F.col("gram") == F.col("other")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _possible("x", "y", percent) & _maps_allow("x", "y", percent))
-    rest = rest.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = C.cut(_verified(docs, C.cut(rest), n, percent))
+    rest = rest.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = C.cut(_verified(docs, _pruned(rest, maps, percent), n, percent))
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(known.unionByName(more))
 
