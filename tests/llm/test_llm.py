@@ -377,3 +377,12 @@ def test_queries_have_their_columns(spark):
     from shotloom.llm.registry import QUERIES
 
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_jaccard_join_against_its_sql(spark):
+    from tests.compare import compare, connect
+
+    name = "op10_ngram_jaccard_join"
+    from shotloom.llm import registry
+
+    assert compare(spark, connect(PATH), PATH, name, registry.QUERIES[name], registry.ORACLES[name]) is None
