@@ -223,3 +223,27 @@ def test_files(spark, tmp_path):
     assert sorted(r.n for r in files.content_groups(found).collect()) == [1, 2]
     assert files.objects(spark, str(tmp_path), "*.png", with_bytes=False).columns == ["path", "modificationTime", "length"]
     assert [spark.range(1).select(files.variant_height(F.lit(w), F.lit(h), 100)).first()[0] for w, h in ((200, 50), (100, 50), (10000, 1))] == [25, 50, 1]
+
+
+def test_pixels_and_encoders(spark):
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from shotloom.functions import encoders, pixels
+
+    rgba = np.array([[255, 0, 0, 128], [10, 20, 30, 255]], np.uint8)
+    assert pixels.filtered(rgba, 1, 1, 1, 0, 0) is rgba
+    grey = pixels.filtered(rgba, 1, 1, 0, 0, 0)
+    assert grey[0].tolist() == [54, 54, 54, 128] and grey[1, 3] == 255
+    assert pixels.filtered(rgba, 1, 1, 1, 360, 0)[1].tolist()[:3] == [10, 20, 30]
+    one = spark.createDataFrame([(bytearray(rgba.tobytes()),)], "p binary").select(pixels.filter_pixels("p", *(F.lit(x) for x in (1.0, 1.0, 0.0, 0.0, 0.0))).alias("p")).first().p
+    assert bytes(one) == grey.tobytes()
+    df = spark.createDataFrame([("a",), ("bb",)], "t string")
+    encode = encoders.batched_encoder(lambda: lambda xs: [[float(len(x)), 1.0] for x in xs], 2)
+    assert [r.v for r in df.select(encode("t").alias("v")).collect()] == [[1.0, 1.0], [2.0, 1.0]]
+    safe = encoders.best_effort(lambda x: 1 // (len(x) - 1), T.LongType())
+    assert [(r.s.value, r.s.error) for r in df.select(safe("t").alias("s")).collect()] == [(None, "ZeroDivisionError: integer division or modulo by zero"), (1, None)]
+    shots = encoders.one_to_many(lambda x: [(float(i),) for i in range(len(x))], "start double")
+    assert rows(shots(df.withColumn("id", F.length("t")), "t")) == [(1, 0, 0.0), (2, 0, 0.0), (2, 1, 1.0)]
+    with pytest.raises(RuntimeError):
+        encoders.require_enabled(False, "retrieval")
