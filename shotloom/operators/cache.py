@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 #: Values over this size bypass the cache. Fixed value.
 MAX_BYTES = 1 << 20
 #: Header of a stored vector: magic, version, dimension, two 32-byte identities; then big-endian float32. Fixed values.
-HEADER, MAGIC, VERSION = ">4sBI32s32s", b"KVEC", 1
+HEADER, VERSION = ">4sBI32s32s", 1
+#: Four bytes that name the kind of vector; callers with stored vectors pass theirs.
+MAGIC = b"SLV1"
 
 
 def text_groups(texts: DataFrame) -> DataFrame:
@@ -49,17 +51,17 @@ def bulk_get(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return keys.join(entries.select("key", "value"), "key", "left").select("pos", "key", "value")
 
 
-def encode_vector(config: bytes, content: bytes, vector: np.ndarray) -> bytes:
-    return struct.pack(HEADER, MAGIC, VERSION, len(vector), config, content) + np.asarray(vector, ">f4").tobytes()
+def encode_vector(config: bytes, content: bytes, vector: np.ndarray, magic: bytes = MAGIC) -> bytes:
+    return struct.pack(HEADER, magic, VERSION, len(vector), config, content) + np.asarray(vector, ">f4").tobytes()
 
 
-def decode_vector(data: bytes, config: bytes, content: bytes, dimension: int) -> tuple[str, list[float] | None]:
+def decode_vector(data: bytes, config: bytes, content: bytes, dimension: int, magic: bytes = MAGIC) -> tuple[str, list[float] | None]:
     """(state, vector); checks run in a fixed order, and the first that fails names the state."""
     size = struct.calcsize(HEADER)
     if data is None or len(data) < size:
         return "corrupt", None
-    magic, version, dim, own_config, own_content = struct.unpack(HEADER, data[:size])
-    if magic != MAGIC:
+    kind, version, dim, own_config, own_content = struct.unpack(HEADER, data[:size])
+    if kind != magic:
         return "corrupt", None
     if version != VERSION:
         return "schema", None
@@ -75,18 +77,18 @@ def decode_vector(data: bytes, config: bytes, content: bytes, dimension: int) ->
     return "ok", vector.astype(float).tolist()
 
 
-def packed(vector: Column, text_hash: Column, config: bytes) -> Column:
+def packed(vector: Column, text_hash: Column, config: bytes, magic: bytes = MAGIC) -> Column:
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([encode_vector(config, bytes.fromhex(h), v) for v, h in zip(vectors, hashes, strict=True)])
+        return pd.Series([encode_vector(config, bytes.fromhex(h), v, magic) for v, h in zip(vectors, hashes, strict=True)])
 
     return pack(vector, text_hash)
 
 
-def unpacked(data: Column, text_hash: Column, config: bytes, dimension: int) -> Column:
+def unpacked(data: Column, text_hash: Column, config: bytes, dimension: int, magic: bytes = MAGIC) -> Column:
     @F.pandas_udf("state string, vector array<double>")
     def unpack(values: pd.Series, hashes: pd.Series) -> pd.DataFrame:
-        rows = [decode_vector(None if v is None else bytes(v), config, bytes.fromhex(h), dimension) for v, h in zip(values, hashes, strict=True)]
+        rows = [decode_vector(None if v is None else bytes(v), config, bytes.fromhex(h), dimension, magic) for v, h in zip(values, hashes, strict=True)]
         return pd.DataFrame(rows, columns=["state", "vector"])
 
     return unpack(data, text_hash)

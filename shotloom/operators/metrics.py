@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Upper bounds of the latency histogram. Fixed values.
-BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+#: Upper bounds of the payload size histogram, in bytes. Fixed values.
+BOUNDS = (64, 256, 1024, 4096, 16384, 65536, 262144, 1048576)
 
 
 def counters(samples: DataFrame, *labels: str) -> DataFrame:

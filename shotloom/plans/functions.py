@@ -207,9 +207,12 @@ def breaker(spark, d):
     return R.breaker_states(calls).groupBy("key", "state").agg(F.count("*").alias("n"))
 
 
-@query("ag_histogram", "SELECT event_type, le, count(*) FILTER (value / 100 <= b) AS n FROM events, (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('10.0', 10.0), ('+Inf', 1e300)) v(le, b) GROUP BY event_type, le")
+_BOUNDS = ", ".join(f"('{b}', {b})" for b in M.BOUNDS)
+
+
+@query("ag_histogram", f"SELECT source, le, count(*) FILTER (strlen(text) <= b) AS n FROM documents, (VALUES {_BOUNDS}, ('+Inf', 1000000000000)) v(le, b) GROUP BY source, le")
 def histogram(spark, d):
-    return M.histogram(_read(spark, d, "events"), "event_type", F.col("value") / 100)
+    return M.histogram(_read(spark, d, "documents"), "source", F.octet_length("text"))
 
 
 @query("ag_health", "SELECT s_nationkey, CASE WHEN bool_or(s_suppkey % 3 = 0 AND s_acctbal < 1000) THEN 'unhealthy' WHEN bool_or(s_acctbal < 1000) THEN 'degraded' ELSE 'healthy' END AS status FROM supplier GROUP BY s_nationkey")
