@@ -91,36 +91,3 @@ def settings(job: dict[str, Column], document: dict[str, Column]) -> Column:
 def first_error(items: DataFrame, error: Column) -> DataFrame:
     """The first item's error in document order, for documents that have one."""
     return items.withColumn("__e", error).where("__e is not null").groupBy("document_id").agg(F.min_by(F.struct("item_id", F.col("__e").alias("error")), F.struct("track_index", "item_index")).alias("x")).select("document_id", "x.*")
-
-
-#: Item properties that an export can't honour: (JSON path below properties, default, message). Fixed values.
-UNSUPPORTED_NUMBERS = tuple((f"adjust.{n}", d, "tonal detail controls") for n, d in (("highlights", 100), ("shadows", 100), ("whites", 0), ("blacks", 0), ("sharpness", 0), ("clarity", 0))) + (("color.vignette", 0, "vignette or grain"), ("color.grain", 0, "vignette or grain")) + tuple((f"mask.{n}", d, "a mask") for n, d in (("top", 0), ("bottom", 0), ("left", 0), ("right", 0), ("cornerRadius", 0), ("feather", 0), ("expansion", 0), ("maskFeather", 10), ("maskSize", 50))) + (("animation.scaleAnim", 0, "an entrance or exit animation"), ("animation.rotationAnim", 0, "an entrance or exit animation"))
-#: Blocks of the advanced state that an export can't honour, in their order. Fixed values.
-ADVANCED_BLOCKS = (("trackingTargets", "Tracking metadata"), ("autoReframe", "Auto-reframe metadata"), ("freezeFrames", "Freeze frames"), ("timeRemap", "Time remapping"))
-
-
-def property_text(json: Column, path: str) -> Column:
-    """A property's text, with {"value": x} unwrapped; null if it is absent."""
-    group, name = path.split(".")
-    return F.coalesce(F.get_json_object(json, f"$.properties.{group}.{name}.value"), F.get_json_object(json, f"$.properties.{group}.{name}"))
-
-
-def unsupported_state(json: Column, item_type: Column) -> Column:
-    """The first rule that a timeline item breaks, as a message, or null. Rules run in their order."""
-    truthy = lambda p: F.coalesce(~F.get_json_object(json, p).isin("false", "0", "", "[]", "{}", "null"), F.lit(False))
-    message = F.lit(None).cast("string")
-    visual = item_type.isin(*VISUAL_TYPES)
-    text_preset = F.coalesce(property_text(json, "animation.preset"), F.lit("None"))
-    message = F.when((item_type == "text") & ~text_preset.isin("", "None"), "an entrance or exit animation").otherwise(message)
-    eq = F.coalesce(property_text(json, "audioSettings.eq"), F.lit("Flat"))
-    loud = ~eq.isin("", "Flat") | (F.abs(F.coalesce(property_text(json, "audioSettings.balance").try_cast("double"), F.lit(0.0))) > 1e-6)
-    message = F.when((item_type == "video") & loud, "advanced audio processing").otherwise(message)
-    preset = F.coalesce(property_text(json, "animation.presets"), F.lit("None"))
-    message = F.when(visual & ~preset.isin("", "None"), "an entrance or exit animation").otherwise(message)
-    for path, default, what in reversed(UNSUPPORTED_NUMBERS):
-        differs = F.abs(property_text(json, path).try_cast("double") - default) > 1e-6
-        message = F.when(visual & F.coalesce(differs, F.lit(False)), what).otherwise(message)
-    message = F.when(truthy("$.properties.effects"), "an item effect").otherwise(message)
-    for key, label in reversed(ADVANCED_BLOCKS):
-        message = F.when(truthy(f"$.advanced.{key}"), label).otherwise(message)
-    return message

@@ -42,6 +42,11 @@ def route(messages: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     })
 
 
+def started_events(messages: DataFrame) -> DataFrame:
+    """One started event for each valid message of a batch, again on each retry."""
+    return messages.where(request_error(F.col("value")).isNull()).select("event_id", F.lit("started").alias("event"), attempt_of(F.col("attempt_header")).alias("attempt"))
+
+
 def stamped_headers(headers: Column, attempt: Column, error: Column) -> Column:
     """Retry headers win over those present; the first error stays. Needs LAST_WIN maps."""
     first = F.create_map(F.lit("x-first-error"), error)

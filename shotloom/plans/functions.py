@@ -273,3 +273,22 @@ def fonts(spark, d):
 def exists(spark, d):
     listing = _read(spark, d, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("k"), F.lit(True).alias("found"))
     return _read(spark, d, "part").withColumn("k", F.col("p_partkey") % 100).join(listing, "k", "left").select("p_partkey", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("st_started_events", f"SELECT event_id, 'started' AS event, attempt FROM ({_ROUTED}) WHERE error IS NULL")
+def started(spark, d):
+    return R.started_events(A.load(spark, d, A.MESSAGES))
+
+
+@query("sf_colour", "SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 255 ELSE p_partkey % 16 * 17 END AS r, 255 AS a FROM part")
+def colours(spark, d):
+    digit = F.lower(F.hex(F.col("p_partkey") % 16))
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit(" #"), digit, digit, digit)).when(k == 1, F.concat(F.lit("#"), digit, digit, F.lit("00Ff"))).otherwise("chartreuse?")
+    return _read(spark, d, "part").select("p_partkey", X.colour(text).alias("c")).select("p_partkey", "c.r", "c.a")
+
+
+@query("sf_shot_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS occurred_at FROM events")
+def timestamps(spark, d):
+    """Times as ISO text with a Z."""
+    return _read(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("occurred_at"))

@@ -169,9 +169,24 @@ def test_audio_ownership(spark):
 
 
 def test_unsupported_states(spark):
-    cases = [("video", "{}", None), ("video", '{"advanced":{"timeRemap":{"a":1}}}', "Time remapping"), ("image", '{"properties":{"adjust":{"clarity":{"value":3}}}}', "tonal detail controls"), ("text", '{"properties":{"animation":{"preset":"Pop"}}}', "an entrance or exit animation"), ("video", '{"properties":{"audioSettings":{"eq":"Bass"}}}', "advanced audio processing"), ("video", '{"properties":{"mask":{"maskSize":50}}}', None), ("audio", '{"properties":{"mask":{"maskSize":1}}}', None)]
-    df = spark.createDataFrame([(t, j) for t, j, _ in cases], "t string, j string").select(manifest.unsupported_state(F.col("j"), F.col("t")).alias("m"))
-    assert [r.m for r in df.collect()] == [m for _, _, m in cases]
+    from shotloom.operators import export_rules
+
+    cases = [
+        ("video", "{}", None), ("video", '{"advanced":{"timeRemap":{"a":1}}}', "Time remapping"), ("image", '{"properties":{"adjust":{"clarity":{"value":3}}}}', "tonal detail controls"),
+        ("text", '{"properties":{"animation":{"preset":"Pop"}}}', "an entrance or exit animation"), ("video", '{"properties":{"audioSettings":{"eq":"Bass"}}}', "advanced audio processing"),
+        ("video", '{"properties":{"mask":{"maskSize":50}}}', None), ("audio", '{"properties":{"mask":{"maskSize":1}}}', None), ("video", '{"properties":{"mask":{"invert":true}}}', "a mask"),
+        ("video", '{"advanced":{"color":{"rgbMatrix":[1,0,0,0,1]}}}', "Advanced state without keyframes"), ("video", '{"advanced":{"color":{"rgbMatrix":[1,0.5]}}}', "Color processing"),
+        ("video", '{"advanced":{"color":{"hsl":{"red":{"hue":2}}}}}', "Color processing"), ("video", '{"advanced":{"color":{"curves":{"r":[{"x":0,"y":0},{"x":1,"y":0.9}]}}}}', "Color processing"),
+        ("video", '{"advanced":{"opacity":{"keyframes":[{"time":0}]}}}', None), ("video", '{"advanced":{"opacity":{"keyframes":[]}}}', "Advanced state without keyframes"),
+        ("text", '{"advanced":{"crop":{"top":{"keyframes":[1]}}}}', "Crop animation"), ("video", '{"advanced":{"transform":{"anchorX":{"keyframes":[1]}}}}', "Anchor animation"),
+        ("image", '{"properties":{"filters":{"filterType":"Sparkle"}}}', "an unsupported filter"), ("image", '{"properties":{"filters":{"filterType":{"value":"Cool"}}}}', None),
+        ("video", '{"properties":{"adjust":{"exposure":{"value":1,"keyframes":[{"time":0}]}}}}', "animated color or filter controls"), ("video", '{"properties":{"speedSettings":{"pitchCorrection":false}}}', "reverse, nonlinear speed, or pitch handling"),
+        ("audio", '{"properties":{"eq":{"low":3}}}', "advanced audio processing"), ("audio", '{"properties":{"effects":{"echo":1}}}', "an item effect"), ("text", '{"style":{"animType":"Fade"}}', "an entrance or exit animation"), ("video", None, None),
+    ]
+    df = spark.createDataFrame([(i, t, j) for i, (t, j, _) in enumerate(cases)], "i int, t string, j string").select("i", export_rules.unsupported_state(F.col("j"), F.col("t")).alias("m"))
+    assert {r.i: r.m for r in df.collect()} == {i: m for i, (_, _, m) in enumerate(cases)}
+    docs = spark.createDataFrame([("{}",), ('{"transitions":[{}]}',), ('{"effects":[{"enabled":false}]}',), ('{"effects":[{"enabled":false},{}]}',)], "d string")
+    assert [r.e for r in docs.select(export_rules.document_error(F.col("d")).alias("e")).collect()] == [None, "transitions", None, "effects"]
 
 
 def test_breaker_and_its_stream(spark, tmp_path):
