@@ -215,10 +215,11 @@ def test_decontamination(spark, docs):
     plant = [
         (201, "x y z. " + item + " and so on"), (202, item.replace("30", "45").replace("miles", "km").replace("Alice", "Robert Smith").replace("12", "7")), (203, item.replace("30 apples", "31 apples")),
         (204, "Quite short words here it is"), (205, item[:40]),
+        (206, "we saw " + item.replace("while Alice", "while alice").upper()), (207, item.replace(" ", "  ").replace("while", "While")),
     ]
     own = spark.createDataFrame(plant, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(own, bench, consistency=0.0).collect()}
-    assert set(got) == {(201, 1), (202, 1), (203, 1), (204, 2)}
+    assert set(got) == {(201, 1), (202, 1), (203, 1), (204, 2), (206, 1), (207, 1)}
     assert got[201, 1].n_changed == 0 and got[202, 1].n_changed == 4 and got[202, 1].consistency == 1.0 and got[203, 1].consistency < 1
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
