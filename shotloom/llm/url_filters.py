@@ -21,6 +21,8 @@ from .license_scan import LOWERED, UPPER
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
 ROUNDS = 10
+#: Rounds of one plan.
+CUT_ROUNDS = 5
 #: Least distrust of a blocked host; a host without edges reaches it when half of its pages are blocked.
 THRESHOLD = 0.5 * (1 - DAMPING)
 #: Rules are broadcast up to this number; beyond it the join shuffles.
@@ -69,20 +71,22 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank with restarts at seeds (host, seed), which lists every host; edges (src, dst).
+    """(kind, host, score): personalised PageRank of every kind of standing, with restarts at seeds (kind, host, seed), which lists every host of a kind; edges (kind, src, dst).
 
     Scores are not scaled to sum 1, so they don't shrink as hosts are added. After `rounds` the rest
-    is at most damping ** rounds of the seeds' mass. Each round is cut, in shared storage.
+    is at most damping ** rounds of the seeds' mass. Every few rounds are cut, in shared storage.
     """
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = C.cut(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("w")))
+    out = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+    weighted = C.cut(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(1.0) / F.col("degree")).alias("w")))
     if weighted.isEmpty():
-        return seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    now = seeds.select("host", "seed", (F.col("seed") * (1 - damping)).alias("score"))
-    for _ in range(rounds):
-        moved = weighted.join(now.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        now = C.cut(seeds.join(moved, "host", "left").select("host", "seed", (F.col("seed") * (1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score")))
-    return now.select("host", "score")
+        return seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    now = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    for i in range(rounds):
+        moved = weighted.join(now, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
+        now = seeds.join(moved, ["kind", "host"], "left").select("kind", "host", (F.col("seed") * (1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        if (i + 1) % CUT_ROUNDS == 0:
+            now = C.cut(now)
+    return now
 
 
 def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,10 +106,11 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     share = lambda v: (F.count_if(F.col("verdict") == v) / F.count("*"))
     hosts = C.cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")))
     edges = C.cut(host_edges(pages.select(host_of(url).alias("host"), "html"), hosts.select("host")))
-    trust = propagate(hosts.select("host", F.col("trust").alias("seed")), edges, damping, rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = propagate(hosts.select("host", F.col("distrust").alias("seed")), back, damping, rounds)
-    standing = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host")
+    kinds = ("trust", "distrust")
+    seeds = C.cut(hosts.select("host", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in kinds))).alias("x")).select("x.kind", "host", "x.seed"))
+    both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    scores = propagate(seeds, both, damping, rounds)
+    standing = scores.groupBy("host").agg(*(F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in kinds))
     found = rows.join(standing, "host", "left")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

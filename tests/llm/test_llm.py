@@ -297,7 +297,10 @@ def test_propagation_matches_dense_iteration(spark):
     r = random.Random(6)
     edges = list({(f"h{r.randrange(12)}", f"h{r.randrange(12)}") for _ in range(30)})
     seeds = {f"h{i}": (i % 4) / 3 for i in range(12)}
-    got = {x.host: x.score for x in url_filters.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string"), rounds=6).collect()}
+    kinds = lambda rows: [(k, *x) for x in rows for k in ("a", "b")]
+    found = url_filters.propagate(spark.createDataFrame(kinds(seeds.items()), "kind string, host string, seed double"), spark.createDataFrame(kinds(edges), "kind string, src string, dst string"), rounds=6)
+    got = {x.host: x.score for x in found.where("kind = 'a'").collect()}
+    assert got == {x.host: x.score for x in found.where("kind = 'b'").collect()}
     degree, now = collections.Counter(a for a, _ in edges), {h: 0.15 * s for h, s in seeds.items()}
     for _ in range(6):
         moved = collections.Counter()
