@@ -280,7 +280,7 @@ def started(spark, d):
     return R.started_events(A.load(spark, d, A.MESSAGES))
 
 
-@query("sf_colour", "SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 255 ELSE p_partkey % 16 * 17 END AS r, 255 AS a FROM part")
+@query("sf_colour", "SELECT p_partkey, (CASE p_partkey % 3 WHEN 2 THEN 255 ELSE p_partkey % 16 * 17 END)::INT AS r, 255 AS a FROM part")
 def colours(spark, d):
     digit = F.lower(F.hex(F.col("p_partkey") % 16))
     k = F.col("p_partkey") % 3

@@ -93,7 +93,7 @@ _PROBE = """(SELECT p_partkey AS id, CASE p_partkey % 4
  ELSE '{{"streams":[]}}' END AS js FROM {part})"""
 
 
-@query("pr_probe_metadata", f"SELECT id, CASE id % 4 WHEN 0 THEN 12.5 END AS duration_seconds, CASE id % 4 WHEN 0 THEN 'h264' WHEN 1 THEN 'mp3' WHEN 2 THEN 'vp9' END AS codec, CASE id % 4 WHEN 0 THEN round(30000.0 / 1001, 6)::DOUBLE END AS frame_rate, id % 4 IN (0, 1) AS has_audio FROM {_PROBE}")
+@query("pr_probe_metadata", f"SELECT id, CASE id % 4 WHEN 0 THEN 12.5::DOUBLE END AS duration_seconds, CASE id % 4 WHEN 0 THEN 'h264' WHEN 1 THEN 'mp3' WHEN 2 THEN 'vp9' END AS codec, CASE id % 4 WHEN 0 THEN round(30000.0 / 1001, 6)::DOUBLE END AS frame_rate, id % 4 IN (0, 1) AS has_audio FROM {_PROBE}")
 def probe_metadata(spark, d):
     rows = A.load(spark, d, f"SELECT * FROM {_PROBE}").select("id", I.probe_metadata(F.col("js")).alias("m"))
     return rows.select("id", "m.duration_seconds", "m.codec", F.round("m.frame_rate", 6).alias("frame_rate"), "m.has_audio")
