@@ -18,15 +18,24 @@ HEADER, VERSION = ">4sBI32s32s", 1
 MAGIC = b"SLV1"
 
 
+def hashed(texts: DataFrame) -> DataFrame:
+    """(pos, text, text_hash) of non-blank texts."""
+    return texts.where(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")) != "").withColumn("text_hash", F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256))
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(text_hash, first_pos, n): what has to be encoded, each text once. Sums and minima alone, so a text in a third of all rows is no burden."""
+    return hashed(texts).groupBy("text_hash").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+
+
 def text_groups(texts: DataFrame) -> DataFrame:
-    """(text_hash, positions, first_pos, n) of non-blank texts: each distinct text is encoded once."""
-    own = texts.where(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")) != "").withColumn("text_hash", F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256))
-    return own.groupBy("text_hash").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+    """distinct_texts() with the positions of each, for requests of bounded size."""
+    return hashed(texts).groupBy("text_hash").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
 
 
-def expand(groups: DataFrame, results: DataFrame) -> DataFrame:
-    """Results by text_hash back to every position."""
-    return groups.select("text_hash", F.explode("positions").alias("pos")).join(results, "text_hash", "left")
+def expand(texts: DataFrame, results: DataFrame) -> DataFrame:
+    """Results by text_hash back to every position of texts (pos, text)."""
+    return hashed(texts).select("text_hash", "pos").join(results, "text_hash", "left")
 
 
 def lookup(requests: DataFrame, current: DataFrame, legacy: DataFrame) -> DataFrame:

@@ -108,8 +108,9 @@ def text_groups(spark, d):
 
 @query("jn_expanded_results", "SELECT doc_id AS pos, sha256(text) AS text_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS encoded_at FROM documents WHERE trim(text) <> ''")
 def expanded(spark, d):
-    groups = K.text_groups(_read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text"))
-    return K.expand(groups, groups.select("text_hash", F.col("first_pos").alias("encoded_at"))).select("pos", "text_hash", "encoded_at")
+    texts = _read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    once = K.distinct_texts(texts).select("text_hash", F.col("first_pos").alias("encoded_at"))
+    return K.expand(texts, once).select("pos", "text_hash", "encoded_at")
 
 
 _LOOKUP = f"SELECT pos, CASE WHEN in_cache AND NOT corrupt THEN 'hit' WHEN in_cache THEN 'corrupt' WHEN in_legacy THEN 'legacy' ELSE 'miss' END AS outcome FROM ({A.CACHE_REQUESTS})"
