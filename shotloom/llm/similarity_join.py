@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import connected_components
 
-#: Number of hashed counters for the global order: 16 MB as sent to each executor, whatever the input.
-COUNTER_BITS = 24
+#: Number of hashed counters for the global order: 8 MB as sent to each executor, whatever the input.
+COUNTER_BITS = 23
 BLOCK = 1 << 18
 #: Fragments of the hash order in verification.
 FRAGMENTS = 8
@@ -80,7 +80,7 @@ def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.
             for _, own in shingle_sets(batch.column(0), n):
                 parts.append((own & np.uint64(size - 1)).astype(np.int32))
                 held += len(own)
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     flush()
                     held = 0
         flush()
@@ -102,11 +102,12 @@ def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.
 
     schema = "block int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition(size // block, "block").mapInArrow(add, schema).collect()  # a row for each block
-    total = np.zeros(size, np.float64)
+    own = lambda counts: np.frombuffer(zlib.decompress(counts), np.uint64)
+    mean = max(1.0, sum(int(own(counts).sum()) for _, counts in rows) / size)
+    level = np.zeros(size, np.uint8)
     for k, counts in rows:
-        total[k * block : (k + 1) * block] = np.frombuffer(zlib.decompress(counts), np.uint64)
-    mean = max(1.0, total.sum() / size)
-    return np.floor(np.log2(np.maximum(total / mean, 1))).astype(np.uint8), mean
+        level[k * block : (k + 1) * block] = np.floor(np.log2(np.maximum(own(counts) / mean, 1)))
+    return level, mean
 
 
 _PROFILE = "doc_id long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
