@@ -20,7 +20,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Buckets of the key's order in one source.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 SEED = 7
 
 
