@@ -35,21 +35,26 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ngram_buckets(words, buckets: int = BUCKETS):
+def word_hashes(text):
+    """64-bit hash of every word; what follows works on these, so each word's text is read once."""
+    return F.transform(C.words_of(text), lambda w: F.xxhash64(w))
+
+
+def ngram_buckets(hashes, buckets: int = BUCKETS):
     """Bucket of every word and of every pair of neighbouring words."""
-    n = F.size(words)
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    two = F.when(n > 1, F.transform(F.slice(words, F.lit(1), n - 1), lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(buckets)))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(hashes)
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)))
+    two = F.transform(F.slice(hashes, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)))
     return F.concat(one, two)
 
 
-def repeated_words(words):
+def repeated_words(hashes):
     """Words in windows of three that occur twice or more, all occurrences counted."""
-    n = F.size(words)
-    windows = F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    n = F.size(hashes)
+    windows = F.transform(F.slice(hashes, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
 
-    def places(hashes):
-        order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def places(found):
+        order = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         own = let(order, lambda o: F.filter(F.transform(o, lambda x, k: F.when((x["h"] == F.get(o, k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(o, F.greatest(k - 1, F.lit(0)))["h"])), x["i"])), lambda i: i.isNotNull()))
         return let(F.array_sort(own), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
@@ -69,7 +74,7 @@ def _trusted(labels: DataFrame, most: int) -> DataFrame:
 
 def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row with the array of log(trusted / raw) for each bucket; raw counts cover all documents. ids: (doc_id, held), of bounded size."""
-    grams = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select((~F.coalesce("held", F.lit(True))).alias("own"), F.explode(let(C.words_of(F.col("text")), lambda w: ngram_buckets(w, buckets))).alias("bucket"))
+    grams = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select((~F.coalesce("held", F.lit(True))).alias("own"), F.explode(let(word_hashes(F.col("text")), lambda h: ngram_buckets(h, buckets))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("own").alias("own"))
     every = docs.sparkSession.range(0, buckets, 1, 1).withColumnRenamed("id", "bucket")
     counts = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("own", F.lit(0)).alias("own"))
@@ -79,8 +84,8 @@ def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: f
     return rows.select(F.transform("all", ratio).alias("ratios"))
 
 
-def _mean_ratio(words, table, buckets: int):
-    return let(ngram_buckets(words, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int"))) / F.greatest(F.size(g), F.lit(1)))
+def _mean_ratio(hashes, table, buckets: int):
+    return let(ngram_buckets(hashes, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int"))) / F.greatest(F.size(g), F.lit(1)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
@@ -96,21 +101,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     ratios = C.cut(log_ratios(docs, ids, buckets, prior))
     table = F.col("__r")  # a scalar subquery's value: each executor holds it once
     held = docs.select("doc_id", "text").join(F.broadcast(ids.where("held")), "doc_id", "left_semi").withColumn("__r", ratios.scalar())
-    held = held.select(let(C.words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _mean_ratio(w, table, buckets))).alias("score"))
+    held = held.select(let(word_hashes(F.col("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, _mean_ratio(h, table, buckets))).alias("score"))
     threshold = C.cut(held.agg((F.percentile("score", QUANTILE) - MARGIN).alias("threshold")))
     text = F.coalesce(F.col("text"), F.lit(""))
+    least = F.coalesce(F.col("__t"), F.lit(float("-inf")))
 
-    def measure(w):
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), _mean_ratio(w, table, buckets).alias("score"))
+    def measure(h):
+        """One struct, decision included, so that a filter on it evaluates it once."""
+        n = F.size(h).cast("long")
+        failed = lambda r: (n < MIN_WORDS) | (100 * r > 50 * n)
+        whole = lambda r, s: F.struct(n.alias("n_words"), r.alias("n_repeat_words"), failed(r).alias("base_failed"), s.alias("score"), (~failed(r) & (s >= least)).alias("kept"))
+        return let(repeated_words(h), lambda r: let(_mean_ratio(h, table, buckets), lambda s: whole(r, s)))
 
-    found = docs.withColumn("__r", ratios.scalar()).withColumn("__m", let(C.words_of(F.col("text")), measure)).withColumns({
+    found = docs.withColumns({"__r": ratios.scalar(), "__t": threshold.scalar()}).withColumn("__m", let(word_hashes(F.col("text")), measure))
+    return found.withColumns({
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": duplicate_lines(text),
-        "n_words": F.col("__m.n_words"), "n_repeat_words": F.col("__m.n_repeat_words"), "score": F.col("__m.score"),
-    }).drop("__m", "__r")
-    found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.coalesce(threshold.scalar(), F.lit(float("-inf")))))
+        **{c: F.col(f"__m.{c}") for c in ("n_words", "n_repeat_words", "base_failed", "score", "kept")},
+    }).drop("__m", "__r", "__t")
 
 
 def op7_quality_rules(spark, sf_dir):
