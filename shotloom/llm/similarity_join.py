@@ -249,11 +249,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = all_rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
     classes = C.cut(classes)
     heads = all_rows.where("n > 0").join(classes, ["n", "s1", "s2"]).where("doc_id = cls").dropDuplicates(["cls"])
-    posts = heads.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select("cls", "n", "pos", F.col("x.prefix").alias("gram"), F.when(F.col("x.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("x.salts"))).otherwise(0).cast("int").alias("salt"))
+    posts = heads.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select("cls", "n", "pos", F.col("x.prefix").alias("gram"), F.when(F.col("x.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("x.salts"))).otherwise(0).cast("int").alias("salt"), (F.col("x.salts") > 1).alias("salted"))
     own = Window.partitionBy("gram", "salt").orderBy("pos", "cls")
     me = F.struct("cls", "n", "pos")
     lists = posts.select("*", F.lag(me).over(own).alias("last"), F.first(me).over(own).alias("head"), F.lead("cls").over(own).alias("next"))
-    lists = C.cut(lists.where("last is not null or next is not null or salt > 0").drop("next"))
+    # alone in its part of a salted list, a row may still have neighbours in the other parts
+    lists = C.cut(lists.where("last is not null or next is not null or salted").drop("next", "salted"))
     across = lists.where("last is null and salt >= 0").join(lists.where("salt > 0").select("gram").distinct(), "gram", "left_semi")
     wide = Window.partitionBy("gram").orderBy("pos", "cls")
     across = across.select("*", F.lag(me).over(wide).alias("near")).where("near is not null").select(F.col("near").alias("x"), me.alias("y"))
