@@ -5,6 +5,9 @@ that rules allow seeds trust, the share they block seeds distrust. Trust flows a
 (personalised PageRank); distrust flows against them, from a blocked host to those that link to
 it. A host whose distrust reaches a threshold and exceeds its trust is blocked.
 
+Every host that a page links to is a node, also if it has no page itself; then the rule that fits
+its root path seeds it. Only hosts with pages are in the result.
+
 Host edges are the links of the pages' html to other hosts, and a host's tie to its nearest parent
 domain among the hosts seen, both ways.
 """
@@ -58,11 +61,15 @@ def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, w): the share of src's edges that go to dst; no self edges, repeated links count once."""
+def host_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): the distinct links of pages (host, html) to other hosts."""
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWERED)))).alias("dst"))
+    return links.where("src <> dst").distinct()
+
+
+def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst): the links and the ties of hosts to parent domains; no self edges, repeated links count once."""
     names = hosts.select(F.col("host").alias("dst"))
-    links = links.distinct().join(names, "dst", "left_semi").select("src", "dst")
     up = hosts.select("host", F.posexplode(F.slice(suffixes(F.col("host")), F.lit(2), F.size(F.split("host", "[.]")))).alias("i", "dst"))
     up = up.join(names, "dst", "left_semi").groupBy("host").agg(F.min_by("dst", "i").alias("dst"))
     ties = up.select(F.col("host").alias("src"), "dst").unionByName(up.select(F.col("dst").alias("src"), F.col("host").alias("dst")))
@@ -93,7 +100,8 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of pages (page_id, url, html).
 
     A null url or one without :// has an empty host and path, no rule and verdict allow. The longest
-    fitting rule wins, equal lengths by text. Hosts without edges keep their own seeds. Null html has
+    fitting rule wins, equal lengths by text. Links to hosts without pages count; for such a host the
+    longest rule that fits its path / gives the seed, so rules for parts of it don't. Hosts without edges keep their own seeds. Null html has
     no links. Repeated rows stay; they seed as often as they occur. Empty tables give an empty result.
     """
     spark = pages.sparkSession
@@ -105,7 +113,12 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     rows = C.cut(rows.join(ruled, ["host", "path"], "left"))
     share = lambda v: (F.count_if(F.col("verdict") == v) / F.count("*"))
     hosts = C.cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")))
-    edges = C.cut(host_edges(pages.select(host_of(url).alias("host"), "html"), hosts.select("host")))
+    links = C.cut(host_links(pages.select(host_of(url).alias("host"), "html")))
+    beyond = links.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").withColumn("path", F.lit("/"))
+    seeded = lambda v: F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0)).alias("trust" if v == "allow" else "distrust")
+    beyond = beyond.join(fitting_rules(beyond, table), ["host", "path"], "left").select("host", seeded("allow"), seeded("block"))
+    hosts = C.cut(hosts.unionByName(beyond))
+    edges = C.cut(host_edges(links, hosts.select("host")))
     kinds = ("trust", "distrust")
     seeds = C.cut(hosts.select("host", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in kinds))).alias("x")).select("x.kind", "host", "x.seed"))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
