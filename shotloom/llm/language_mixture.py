@@ -4,6 +4,8 @@ Training counts hashed byte trigrams of every language over all training documen
 log-likelihood in a language is the sum over its trigrams; a document is a mixture of languages
 from which each word is drawn. Expectation-maximisation estimates the proportions, then the
 language set is chosen among the nested sets of the most likely languages by penalised likelihood.
+The sets grow until the penalty exceeds what any larger set could gain, so nothing else ends them.
+All labels of the training rows are learnt; the model takes 4 bytes * CLASSES for each.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ from . import common as C
 
 #: Hash classes of trigrams.
 CLASSES = 1 << 15
-#: Most languages that a model holds, the most frequent of the training labels; its size is 4 bytes * CLASSES for each.
-LANGUAGES = 200
+#: Languages whose counts a task holds before it passes them on.
+HELD = 256
+#: Word scores (words * languages) that are held at once, but for a single document of more.
+SCORES = 1 << 23
 #: Added to each count.
 SMOOTH = 0.5
 ROUNDS = 8
 #: Log-likelihood that one more language must gain, times log(words).
 PENALTY = 3.0
-#: Languages of a set at most.
-MOST = 4
 #: Bytes that belong to a word.
 _LETTERS = ~C.byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
@@ -66,11 +68,17 @@ def _pieces(column):
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (CLASSES x languages) from rows (text, lang); every row is counted."""
 
-    def count(batches):
+    def packed(total):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for x in total.values()], pa.binary())], ["lang", "counts"])
+
+    def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
+            if len(total) > HELD:
+                yield packed(total)
+                total = {}
             langs = batch.column(1).to_pylist()
             for first, rows, data, off, starts, ends in _pieces(batch.column(0)):
                 if not len(starts):
@@ -82,27 +90,28 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                         lang = langs[first + r]
                         total[lang] = total.get(lang, 0) + np.bincount(own, minlength=CLASSES)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for x in total.values()], pa.binary())], ["lang", "counts"])
-
-    def add(batches):
-        import pyarrow as pa
+            yield packed(total)
 
+    def add(batches):  # sorted by language
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if total and lang not in total:
+                    yield packed(total)
+                    total = {}
                 total[lang] = total.get(lang, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["lang", "counts"])
+            yield packed(total)
 
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     schema = "lang string, counts binary"
-    known = rows.where(F.col("lang").isin(names)) if names else rows.limit(0)
-    found = known.mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()  # a row for each language
-    counts = {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in found}
-    langs = sorted(counts)
-    table = np.stack([counts[x] for x in langs], 1).astype(np.float64) + SMOOTH if langs else np.zeros((CLASSES, 0))
-    return langs, np.log(table / table.sum(0, keepdims=True)).astype(np.float32) if langs else table.astype(np.float32)
+    found = rows.mapInArrow(count, schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(add, schema).collect()  # a row for each language
+    found = sorted(found, key=lambda r: r[0])
+    table = np.zeros((CLASSES, len(found)), np.float32)
+    for k, (_, counts) in enumerate(found):
+        own = np.frombuffer(zlib.decompress(counts), np.int64).astype(np.float64) + SMOOTH
+        table[:, k] = np.log(own / own.sum())
+    return [r[0] for r in found], table
 
 
 def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -114,41 +123,52 @@ def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def infer(words: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY, most: int = MOST) -> np.ndarray:
+def _em(like: np.ndarray, edge: np.ndarray, share: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions after some rounds, their log-likelihood, and the most that any proportions of these languages could add to it."""
+    n_words = np.diff(edge)
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    share = np.maximum(share, 1e-4)
+    share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
+    for _ in range(times):
+        part = share[row] * like
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+        share = _sums(part, edge) / np.maximum(n_words, 1)[:, None]
+    mix = np.maximum((share[row] * like).sum(1), 1e-300)
+    # the log is concave: fit(other) - fit <= words * log(mean ratio of the mixtures), and the ratio is an average over languages
+    gain = _sums(like / mix[:, None], edge).max(1) / np.maximum(n_words, 1)
+    return share, _sums(np.log(mix), edge), n_words * np.log(np.maximum(gain, 1))
+
+
+def infer(words: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
     """Proportions (documents x languages) from word log-likelihoods (words x languages) and document edges; rows of documents without words are 0."""
     n_docs, n_langs = len(edge) - 1, words.shape[1]
     if not n_langs or not len(words):
         return np.zeros((n_docs, n_langs))
     n_words = np.diff(edge)
-    row = np.repeat(np.arange(n_docs), n_words)
-    top = words.max(1, keepdims=True)
-    like = np.exp(words - top)
-
-    def em(share, allowed, times):
-        share = np.where(allowed, np.maximum(share, 1e-4), 0)
-        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-        for _ in range(times):
-            part = share[row] * like
-            part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            share = _sums(part, edge) / np.maximum(n_words, 1)[:, None]
-        fit = _sums(np.log(np.maximum((share[row] * like).sum(1), 1e-300)), edge)
-        return share, fit
-
-    every = np.ones((n_docs, n_langs), bool)
-    share, _ = em(np.full((n_docs, n_langs), 1.0 / n_langs), every, rounds)
-    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_fit = None, None
+    like = np.exp(words - words.max(1, keepdims=True))
+    share, fit, gain = _em(like, edge, np.full((n_docs, n_langs), 1.0 / n_langs), rounds)
+    bound = np.minimum(fit + gain, 0) + 1e-6 * (n_words + 1)  # of every set's log-likelihood; no word exceeds likelihood 1
+    order = np.argsort(-share, axis=1, kind="stable")
     cost = penalty * np.log(np.maximum(n_words, 2))
-    for k in range(1, min(most, n_langs) + 1):
-        own, fit = em(share, rank < k, 1 if k == 1 else 3)
-        fit = fit - (k - 1) * cost
-        if best is None:
-            best, best_fit = own, fit
-        else:
-            better = fit > best_fit
-            best = np.where(better[:, None], own, best)
-            best_fit = np.where(better, fit, best_fit)
-    best[n_words == 0] = 0
+    best, best_fit = np.zeros((n_docs, n_langs)), np.full(n_docs, -np.inf)
+    docs = np.flatnonzero(n_words > 0)  # those that a larger set could still improve
+    for k in range(1, n_langs + 1):
+        docs = docs[bound[docs] - (k - 1) * cost[docs] > best_fit[docs]]
+        if not len(docs):
+            break
+        top = order[docs, :k]
+        held = np.zeros(n_docs, bool)
+        held[docs] = True
+        at = np.flatnonzero(np.repeat(held, n_words))
+        own_edge = np.concatenate([[0], np.cumsum(n_words[docs])])
+        picked = like[at[:, None], np.repeat(top, n_words[docs], axis=0)]
+        own, fit, _ = _em(picked, own_edge, np.take_along_axis(share[docs], top, 1), 1 if k == 1 else 3)
+        fit = fit - (k - 1) * cost[docs]
+        better = fit > best_fit[docs]
+        won = docs[better]
+        best[won] = 0
+        best[won[:, None], top[better]] = own[better]
+        best_fit[won] = fit[better]
     return best
 
 
@@ -166,6 +186,15 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
     fields = [f for f in letter.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _OUT
 
+    def shares(data, starts, ends, edge, logs):
+        """The proportions of each row, for as many rows at once as SCORES allows."""
+        a = 0
+        while a < len(edge) - 1:
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + SCORES // max(1, logs.shape[1]), "right")) - 1)
+            i, j = edge[a], edge[b]
+            yield from infer(word_scores(data, starts[i:j], ends[i:j], logs), edge[a : b + 1] - i)
+            a = b
+
     def make(batches):
         import pyarrow as pa
 
@@ -173,9 +202,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
         for batch in batches:
             names, score, sets, parts = [], [], [], []
             for _, rows, data, off, starts, ends in _pieces(batch.column(len(keep))):
-                share = infer(word_scores(data, starts, ends, logs), np.searchsorted(starts, off))
-                for r in range(rows):
-                    own = share[r]
+                edge = np.searchsorted(starts, off)
+                for own in shares(data, starts, ends, edge, logs):
                     if not own.any():
                         names.append("und"), score.append(0.0), sets.append([]), parts.append([])
                         continue
