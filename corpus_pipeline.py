@@ -26,10 +26,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near copies; rows without an id can't be told apart and go."""
-    found = ngram_jaccard_join(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row of least id of each component of near copies, rows without an id last.
+
+    Texts are compared whatever their rows' ids, so rows with no id or a shared one are told apart by
+    their texts. Rows without words are copies of nothing and stay; only rows repeated under one id go.
+    """
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.withColumn("__key", own)
+    found = ngram_jaccard_join(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").dropDuplicates(["__key"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    first = keyed.select("doc_id", "__key").distinct().join(found, "__key").groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.key").alias("__key"))
+    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(C.WORD)
+    kept = keyed.where(~nameless).join(first, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.unionByName(keyed.where(nameless)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

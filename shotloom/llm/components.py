@@ -33,7 +33,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first())
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.col("b").cast("decimal(20,0)"))).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
