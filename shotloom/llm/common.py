@@ -22,14 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary one (tests); on a cluster that raises, as executors share no local folder."""
     global _LOCAL
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="shotloom-")
     return root
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all work tables. Call it when the results that read them are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shotloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to shared storage and reads it back, so a lost executor never means recomputing."""
     spark = df.sparkSession

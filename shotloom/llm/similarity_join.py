@@ -1,19 +1,21 @@
 """N-gram Jaccard join by vertical partitioning (operator 10).
 
-The global order of all n-grams is (frequency level, hash). Levels come from a fixed-size array of
-hashed counters over the whole corpus, so the order needs no table that grows with the data; any
-total order gives whole results, a good one only makes them cheap. Documents with equal n-gram
-sets form a class, and only classes are joined.
+The global order of all n-grams is (frequency level, hash). Levels come from hashed counters over
+the whole corpus, whose number grows with the text up to what an executor holds; any total order
+gives whole results, a good one only makes them cheap. Rows with equal n-gram sets form a class,
+named by a row number that is written with it, and only classes are joined.
 
 1. Every class sends the n-grams of its prefix in the global order to their posting lists. Two sets
    of the wanted similarity share at least one.
 2. Star round: in each list, members are paired with the list's first member and with their
    predecessor, which is linear in the list. Pairs that hold are joined to components.
 3. Rest round: members of one list that are in different components are paired where sizes,
-   positions and parity maps allow the similarity (all three are bounds, none loses a link).
+   positions and parity maps allow the similarity (all three are bounds, none loses a link). One
+   side leaves out the list's largest component, so a list that is nearly one component stays cheap.
 4. Every pair is held against wider parity maps, as many bits as the sets have n-grams.
-5. Verification cuts the hash order into fragments. Each fragment counts its part of a pair's
-   overlap by itself; the partial counts are summed per pair and tested exactly.
+5. Verification cuts the global order into fragments of equal mass. Each document's fragments are
+   written once; each fragment counts its part of a pair's overlap by itself, and the partial counts
+   are summed per pair and tested exactly.
 
 Pairs inside one component are not enumerated, so a large group of near copies costs its size,
 not its square. A posting list that holds very many classes is salted.
@@ -22,6 +24,7 @@ not its square. A posting list that holds very many classes is salted.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -30,13 +33,17 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import connected_components
 
-#: Number of hashed counters for the global order: 8 MB as sent to each executor, whatever the input.
-COUNTER_BITS = 23
+#: Least and most hashed counters for the global order, as powers of two; the most take 64 MB on an executor.
+COUNTER_BITS = (16, 26)
+#: Bytes of text for each counter between the two.
+COUNTED_BYTES = 64
 BLOCK = 1 << 18
 #: Fragments of the hash order in verification.
 FRAGMENTS = 8
-#: Classes of one posting list that share a salt.
-SALT_ROWS = 100_000
+#: Classes of one posting list that share a salt, and how often the mean count at least, so that only lists that stand out are salted.
+SALT_ROWS, SALT_MEANS = 100_000, 8
+#: N-grams that a task holds before it passes them on.
+HELD = 500_000
 #: Candidate pairs are broadcast up to this number, 16 MB; beyond it the join shuffles.
 BROADCAST_PAIRS = 250_000
 
@@ -60,20 +67,55 @@ def shingle_sets(column, n: int):
                 yield first + r, np.zeros(0, np.uint64)
 
 
-def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.ndarray, float]:
-    """Frequency level of each hashed counter, floor(log2(count / mean count)) and at least 0, in 2**bits bytes; and the mean count."""
-    size = 1 << bits
+class GlobalOrder(NamedTuple):
+    """Level of each hashed counter, floor(log2(count / mean count)) and at least 0; the mean count; and where the order is cut: (level, hash) of each fragment but the first."""
+
+    level: np.ndarray
+    mean: float
+    cuts: list[tuple[int, int]]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.level[(grams & np.uint64(len(self.level) - 1)).astype(np.int64)]
+
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        own, out = self.of(grams), np.zeros(len(grams), np.int32)
+        for level, least in self.cuts:
+            out += (own > level) | ((own == level) & (grams >= np.uint64(least)))
+        return out
+
+
+def _cuts(mass: dict[int, int], fragments: int) -> list[tuple[int, int]]:
+    """Where an order of levels with so many n-grams each, hashes spread evenly, falls into parts of equal mass."""
+    total, out = sum(mass.values()), []
+    for k in range(1, fragments):
+        left = total * k / fragments
+        for level in sorted(mass):
+            if left < mass[level]:
+                out.append((level, int(left / mass[level] * (1 << 64))))
+                break
+            left -= mass[level]
+    return out
+
+
+def counter_bits(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(int(total // COUNTED_BYTES).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
+
+
+def global_order(docs: DataFrame, n: int, bits: int | None = None, fragments: int = FRAGMENTS) -> GlobalOrder:
+    """The order from the counts of all n-grams; the driver gets one compressed byte a counter, nearly all of them 0."""
+    size = 1 << (bits or counter_bits(docs))
     block = min(BLOCK, size)
 
     def count(batches):
         import pyarrow as pa
 
-        total, parts, held = np.zeros(size, np.uint32), [], 0
+        total, parts, held = np.zeros(size, np.uint16), [], 0
 
         def flush():
             if parts:
                 at, times = np.unique(np.concatenate(parts), return_counts=True)
-                total[at] += times.astype(np.uint32)
+                total[at] = np.minimum(total[at].astype(np.int64) + times, 65535)  # a level may come out lower, no more
                 parts.clear()
 
         for batch in batches:
@@ -95,22 +137,34 @@ def count_levels(docs: DataFrame, n: int, bits: int = COUNTER_BITS) -> tuple[np.
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(counts), np.uint32)
+                own = np.frombuffer(zlib.decompress(counts), np.uint16)
                 sums[k] = sums.get(k, 0) + own.astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["block", "counts", "total"])
+
+    summed = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(max(1, size // block // 2), "block")
+    summed = C.cut(summed.mapInArrow(add, "block int, counts binary, total long"))
+    mean = max(1.0, (summed.agg(F.sum("total")).first()[0] or 0) / size)
+
+    def rank(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(counts), np.uint64)
+                level = np.floor(np.log2(np.maximum(own / mean, 1))).astype(np.uint8)
+                mass = np.zeros(64, np.int64)
+                np.add.at(mass, level, own.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([mass], pa.list_(pa.int64()))], ["block", "level", "mass"])
 
-    schema = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(size // block, "block").mapInArrow(add, schema).collect()  # a row for each block
-    own = lambda counts: np.frombuffer(zlib.decompress(counts), np.uint64)
-    mean = max(1.0, sum(int(own(counts).sum()) for _, counts in rows) / size)
-    level = np.zeros(size, np.uint8)
-    for k, counts in rows:
-        level[k * block : (k + 1) * block] = np.floor(np.log2(np.maximum(own(counts) / mean, 1)))
-    return level, mean
+    level, mass = np.zeros(size, np.uint8), np.zeros(64, np.int64)
+    for k, own, part in summed.select("block", "counts").mapInArrow(rank, "block int, level binary, mass array<long>").collect():  # a row for each block
+        level[k * block : (k + 1) * block] = np.frombuffer(zlib.decompress(own), np.uint8)
+        mass += np.array(part)
+    return GlobalOrder(level, mean, _cuts({int(k): int(mass[k]) for k in np.flatnonzero(mass)}, fragments))
 
 
-_PROFILE = "doc_id long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
+_PROFILE = "doc_id long, t long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
 
 
 def parity_map(own: np.ndarray) -> np.ndarray:
@@ -125,30 +179,42 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits if len(bits) == size else np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def _profiles(docs: DataFrame, n: int, percent: int, levels, mean: float) -> DataFrame:
-    """One row a document: set size, 128-bit signature, parity map and its fold to 512 bits, and the prefix in the global order with the salt count of each."""
+def _profiles(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """One row for each of docs (doc_id, t, text): set size, 128-bit signature, parity map and its fold to 512 bits, and the prefix in the global order with the salt count of each."""
 
     def make(batches):
         import pyarrow as pa
 
-        level = levels.value
-        mask = np.uint64(len(level) - 1)
+        known = order.value
+        share = max(SALT_ROWS, SALT_MEANS * known.mean)
+        names = ["n", "s1", "s2", "wide", "bits", "prefix", "salts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+        def rows(batch, at, cols):
+            own = batch.take(pa.array(at, pa.int64()))
+            return pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "t", *names])
+
         for batch in batches:
-            ids = batch.column(0)
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for r, own in shingle_sets(batch.column(1), n):
+            ids = batch.select(["doc_id", "t"])
+            at, cols, held = [], tuple([] for _ in names), 0
+            for r, own in shingle_sets(batch.column(2), n):
                 size = len(own)
                 need = (percent * size + 99) // 100
                 wide = parity_map(own)
-                lev = level[(own & mask).astype(np.int64)]
+                lev = known.of(own)
                 first = np.argsort(lev, kind="stable")[: size - need + 1] if size else np.zeros(0, np.int64)
-                salts = np.maximum(1, np.exp2(lev[first].astype(np.float64) + 1) * mean / SALT_ROWS)
+                salts = np.maximum(1, np.exp2(lev[first].astype(np.float64) + 1) * known.mean / share)
+                at.append(r)
                 for c, v in zip(cols, (size, own.sum(dtype=np.uint64).astype(np.int64) if size else 0, np.bitwise_xor.reduce(C.mix(own)).astype(np.int64) if size else 0, wide.tobytes(), folded(wide, 64).view(np.int64), own[first].astype(np.int64), salts.astype(np.int32)), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "s1", "s2", "wide", "bits", "prefix", "salts"])
+                held += size
+                if held > HELD:
+                    yield rows(ids, at, cols)
+                    at, cols, held = [], tuple([] for _ in names), 0
+            if at:
+                yield rows(ids, at, cols)
 
-    return docs.select("doc_id", "text").mapInArrow(make, _PROFILE)
+    return docs.select("doc_id", "t", "text").mapInArrow(make, _PROFILE)
 
 
 def _possible(a: str, b: str, percent: int, positions: bool = True) -> F.Column:
@@ -194,61 +260,84 @@ def _pruned(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return C.cut(both.mapInArrow(keep, "a long, b long, na long, nb long"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, na, nb) whose similarity holds; overlaps are counted in each fragment of the order and summed."""
-    sides = pairs.select(F.col("a").alias("doc_id"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b", F.lit(1).alias("side")))
-    few = pairs.count() <= BROADCAST_PAIRS
-    wanted = docs.join(F.broadcast(sides) if few else sides, "doc_id").select("text", "a", "b", "side")
-    shift = np.uint64(64 - int(np.log2(FRAGMENTS)))
-    names = ["a", "b", "side", "fragment", "grams"]
+def _fragments(docs: DataFrame, wanted: DataFrame, few: bool, n: int, order) -> DataFrame:
+    """(cls, fragment, grams) of the rows of docs that wanted (doc_id, t, cls) names; each is cut up once, whatever the pairs it is in. Written to shared storage."""
 
     def cut_up(batches):
         import pyarrow as pa
 
+        known = order.value
+        names = ["cls", "fragment", "grams"]
+
         def rows(out):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+            cls = batch.column(1).to_pylist()
             out, held = tuple([] for _ in names), 0
             for r, own in shingle_sets(batch.column(0), n):
-                edge = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                part = known.fragment(own)
+                own, part = own[by := np.argsort(part, kind="stable")], part[by]
+                edge = np.searchsorted(part, np.arange(FRAGMENTS + 1))
                 for f in range(FRAGMENTS):
                     if edge[f] < edge[f + 1]:
-                        for c, v in zip(out, (*keys[r], f, own[edge[f] : edge[f + 1]].view(np.int64)), strict=True):
+                        for c, v in zip(out, (cls[r], f, own[edge[f] : edge[f + 1]].view(np.int64)), strict=True):
                             c.append(v)
                 held += len(own)
-                if held > 500_000:
+                if held > HELD:
                     yield rows(out)
                     out, held = tuple([] for _ in names), 0
             if out[0]:
                 yield rows(out)
 
-    cuts = wanted.mapInArrow(cut_up, "a long, b long, side int, fragment int, grams array<long>")
-    one = lambda k: F.first(F.when(F.col("side") == k, F.col("grams")), ignorenulls=True)
-    part = cuts.groupBy("a", "b", "fragment").agg(F.size(F.array_intersect(one(0), one(1))).cast("long").alias("part"))
-    total = part.where("part > 0").groupBy("a", "b").agg(F.sum("part").alias("both")).join(pairs, ["a", "b"])
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2"))
+    own = wanted.select(F.col("doc_id").alias("id"), F.col("t").alias("t2"), "cls")
+    found = docs.join(F.broadcast(own) if few else own, same).select("text", "cls").mapInArrow(cut_up, "cls long, fragment int, grams array<long>")
+    return C.cut(found.dropDuplicates(["cls", "fragment"]))  # a row may be repeated
+
+
+def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb) whose similarity holds; overlaps are counted in each fragment of the order and summed."""
+    few = pairs.count() <= BROADCAST_PAIRS
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    parts = _fragments(docs, heads.select("doc_id", "t", "cls").join(F.broadcast(ends) if few else ends, "cls", "left_semi"), few, n, order)
+    own = pairs.select("a", "b")
+    left = parts.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("x")).join(F.broadcast(own) if few else own, "a")
+    part = left.join(parts.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
+    part = part.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("part"))
+    total = part.groupBy("a", "b").agg(F.sum("part").alias("both")).join(pairs, ["a", "b"])
     return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of different texts under one doc_id."""
+    sig = F.struct("n", "s1", "s2")
+    rows = rows.where("n > 0 and doc_id is not null").select("doc_id", sig.alias("sig"))
+    several = rows.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    named = classes.select(F.struct("n", "s1", "s2").alias("sig"), "cls")
+    links = rows.join(several, "doc_id").where("sig > lo").select("sig", "lo").distinct()
+    return links.join(named.withColumnRenamed("cls", "a"), "sig").join(named.select(F.col("sig").alias("lo"), F.col("cls").alias("b")), "lo").select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
     Sets hold the distinct n-word shingles of the text with A-Z lower-cased; a text of fewer words
     is one shingle; null, empty and blank texts have an empty set and link with nothing. Documents
     link when 100 * intersection >= percent * union. component_id is the least doc_id reachable.
-    Repeated rows keep their number; rows that share a doc_id count as one document, so other texts
-    under it join its component. Extra columns are ignored; an empty table gives an empty result.
+    Repeated rows keep their number. Rows with words that share a doc_id are one document, so their
+    texts are in one component. A null doc_id is no shared one: such a row links by its text alone,
+    and component_id is null if no row it reaches has an id. Extra columns are ignored; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    level, mean = count_levels(docs, n)
-    levels = spark.sparkContext.broadcast(level)
-    all_rows = C.cut(_profiles(docs, n, percent, levels, mean))
-    classes = all_rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
-    classes = C.cut(classes)
-    heads = all_rows.where("n > 0").join(classes, ["n", "s1", "s2"]).where("doc_id = cls").dropDuplicates(["cls"])
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    order = spark.sparkContext.broadcast(global_order(docs, n))
+    # row numbers hold once they are written
+    all_rows = C.cut(_profiles(docs, n, percent, order).withColumn("rid", F.monotonically_increasing_id()))
+    classes = C.cut(all_rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("least")))
+    heads = all_rows.join(classes.select("cls"), F.col("rid") == F.col("cls")).drop("rid")
     posts = heads.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select("cls", "n", "pos", F.col("x.prefix").alias("gram"), F.when(F.col("x.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("x.salts"))).otherwise(0).cast("int").alias("salt"), (F.col("x.salts") > 1).alias("salted"))
     own = Window.partitionBy("gram", "salt").orderBy("pos", "cls")
     me = F.struct("cls", "n", "pos")
@@ -261,26 +350,29 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     star = lists.where("last is not null").select(F.explode(F.array("last", "head")).alias("x"), me.alias("y")).unionByName(across)
     star = star.where("x.cls <> y.cls").where(_possible("x", "y", percent))
     star = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    maps = C.cut(heads.select("cls", "n", "wide", "bits"))
+    maps = C.cut(heads.select("cls", "doc_id", "t", "n", "wide", "bits"))
     star = _pruned(star, maps, percent)
-    links = C.cut(_verified(docs, star, n, percent))
+    links = C.cut(_verified(docs, maps, star, n, percent, order))
     found = C.cut(connected_components(links))
 
     members = lists.select("gram", "cls", "n", "pos").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = members.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    members = members.join(mixed, "gram", "left_semi").join(maps.select("cls", "bits"), "cls")
-    members = members.select("gram", "cls", "component", F.struct("n", "pos", "bits").alias("v"))
-    x = members.select("gram", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
-    y = members.select(F.col("gram").alias("other"), F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("v").alias("y"))
-    rest = x.join(y, (F.col("gram") == F.col("other")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _possible("x", "y", percent) & _maps_allow("x", "y", percent))
-    rest = rest.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = C.cut(_verified(docs, _pruned(rest, maps, percent), n, percent))
+    mixed = members.groupBy("gram", "component").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
+    members = members.join(mixed, "gram").join(maps.select("cls", "bits"), "cls")
+    members = members.select("gram", "cls", "component", "main", F.struct("n", "pos", "bits").alias("v"))
+    x = members.where("component <> main").select("gram", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
+    y = members.select(F.col("gram").alias("other"), F.col("cls").alias("b"), F.col("component").alias("cb"), "main", F.col("v").alias("y"))
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    rest = x.join(y, (F.col("gram") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & _possible("x", "y", percent) & _maps_allow("x", "y", percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = C.cut(_verified(docs, maps, _pruned(rest, maps, percent), n, percent, order))
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(known.unionByName(more))
+    final = connected_components(known.unionByName(more).unionByName(_shared_ids(all_rows, classes)))
 
-    named = all_rows.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    named = named.join(final.withColumnRenamed("node", "cls"), "cls", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls", "doc_id").alias("component_id"))
+    named = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = C.cut(named.select("n", "s1", "s2", "component", "least"))
+    named = named.drop("least").join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("component")
+    out = all_rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir):
