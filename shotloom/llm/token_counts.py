@@ -14,15 +14,19 @@ Whole counts under each rule sum to the document's number of tokens.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
 RULES = ("start", "majority", "proportional")
-#: Texts of more characters are encoded in parts, so that the memory of one call is bounded.
-LONGEST = 1 << 20
+#: Long runs of white space, by Unicode's property.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
+#: Sections that a task holds before it passes them on.
+HELD = 50_000
 
 
 def default_vocabulary() -> str:
@@ -73,31 +77,27 @@ def allocate(widths: np.ndarray, edges: np.ndarray, rule: str) -> np.ndarray:
 
 
 def _encode(encoding, text: str) -> np.ndarray:
-    if len(text) <= LONGEST:
-        return np.asarray(encoding.encode_ordinary(text), np.int64)
-    parts, a = [], 0
-    while a < len(text):
-        b = min(len(text), a + LONGEST)
-        if b < len(text):  # white space before a word belongs to its token, so cut before it
-            cut = text.rfind(" ", a + 1, b)
-            b = cut if cut > a else b
-        parts.append(np.asarray(encoding.encode_ordinary(text[a:b]), np.int64))
-        a = b
+    """Token ids of the whole text, 4 bytes each, so any text that a row holds.
+
+    The vocabulary's pattern backtracks over blank runs, which fails on very long ones. Such a run is
+    one match of the pattern without its last character, or whole at the end of the text, and no
+    match goes over its start; so it is encoded as the one piece it is, with the same tokens.
+    """
+    parts, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(np.array(encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    parts.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
     return np.concatenate(parts)
 
 
 _OUT = "doc_id long, section int, start_char long, end_char long, n_tokens double, doc_tokens long"
 
 
-def attribute_tokens(docs: DataFrame, rule: str = "start", vocabulary: str | None = None, sections=section_edges) -> DataFrame:
-    """(doc_id, section, start_char, end_char, n_tokens, doc_tokens) for every section of every row of docs (doc_id, text).
-
-    Sections count from 0; spans are code points, end exclusive. sections maps a text's bytes to
-    rising edges from 0 to its length. Null and empty texts have one empty section of 0 tokens.
-    Texts over LONGEST characters are encoded in parts that begin at a space, at the same tokens as
-    the whole wherever a word starts with its space. Repeated rows repeat their sections; extra
-    columns are ignored. vocabulary is a path that every executor can open.
-    """
+def _attributed(rows: DataFrame, rule: str, vocabulary: str | None, sections) -> DataFrame:
+    """rows (doc_id, something), which sections turns into a text and the rising byte edges of its sections."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     path = vocabulary or default_vocabulary()
@@ -111,12 +111,11 @@ def attribute_tokens(docs: DataFrame, rule: str = "start", vocabulary: str | Non
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in names)
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text, edges = sections(value.as_py())
                 tokens = _encode(encoding, text)
-                data = np.frombuffer(text.encode(), np.uint8)
-                edges = sections(data)
                 counts = allocate(width[tokens], edges, rule)
+                data = np.frombuffer(text.encode(), np.uint8)
                 chars = np.zeros(len(data) + 1, np.int64)
                 np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
                 spans = chars[edges]
@@ -124,13 +123,44 @@ def attribute_tokens(docs: DataFrame, rule: str = "start", vocabulary: str | Non
                 for c, v in zip(out, ([doc] * n, range(n), spans[:-1], spans[1:], counts, [len(tokens)] * n), strict=True):
                     c.extend(v)
                 held += n
-                if held > 50_000:
+                if held > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
                     out, held = tuple([] for _ in names), 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(make, _OUT)
+    return rows.mapInArrow(make, _OUT)
+
+
+def attribute_tokens(docs: DataFrame, rule: str = "start", vocabulary: str | None = None, sections=section_edges) -> DataFrame:
+    """(doc_id, section, start_char, end_char, n_tokens, doc_tokens) for every section of every row of docs (doc_id, text).
+
+    Sections count from 0; spans are code points, end exclusive. sections maps a text's bytes to
+    rising edges from 0 to its length. Null and empty texts have one empty section of 0 tokens. A
+    text of any length is encoded once, as a whole. Repeated rows, rows that share a doc_id and rows
+    without one each give their sections; extra columns are ignored. vocabulary is a path that every
+    executor can open.
+    """
+    return _attributed(docs.select("doc_id", "text"), rule, vocabulary, lambda text: (text or "", sections(np.frombuffer((text or "").encode(), np.uint8))))
+
+
+def attribute_fields(docs: DataFrame, fields: list[str], rule: str = "start", vocabulary: str | None = None, separator: str = "\n") -> DataFrame:
+    """The same for documents of several text columns, with the section's field name.
+
+    The fields are joined by the separator and encoded once; the separator belongs to the field
+    before it. A null field is an empty section, so every row gives len(fields) sections.
+    """
+    gap = len(separator.encode())
+
+    def sections(values):
+        values = [v or "" for v in values]
+        sizes = np.array([len(v.encode()) + gap for v in values])
+        sizes[-1] -= gap
+        return separator.join(values), np.concatenate([[0], np.cumsum(sizes)])
+
+    rows = docs.select("doc_id", F.array(*(F.col(f).cast("string") for f in fields)).alias("values"))
+    names = F.array(*(F.lit(f) for f in fields))
+    return _attributed(rows, rule, vocabulary, sections).withColumn("field", F.get(names, F.col("section")))
 
 
 def op2_token_counts(spark, sf_dir):
