@@ -10,6 +10,7 @@ from .pseudonyms import op4_feistel_pseudonyms
 from .quality_rules import op7_quality_rules
 from .similarity_join import ORACLE as JACCARD_SQL
 from .similarity_join import op10_ngram_jaccard_join
+from .source_mixing import ORACLE as MIXING_SQL
 from .source_mixing import op3_source_mixing
 from .token_counts import op2_token_counts
 from .url_filters import op5_url_filters
@@ -28,4 +29,4 @@ QUERIES = {
 }
 
 #: The other operators learn, iterate, pack, hash with Spark's functions or call a tokenizer; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op10_ngram_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
