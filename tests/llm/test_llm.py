@@ -265,7 +265,7 @@ def test_feistel_is_a_permutation(spark):
 def test_pseudonyms(spark, docs):
     text = "mail Ann.Lee@example.com, card 4111 1111 1111 1111 and 4111111111111111, 2024-02-29, 31/12/1999, 10.1.2.3, +1 (743) 555-3824, f33e61083db5dbdf4bd2369d2f80176e57f7fda2, year 2024 v1"
     rows = spark.createDataFrame([(1, text), (2, "again 10.1.2.3 and 4111111111111111"), (3, None), (4, "")], "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudonyms.pseudonymize(rows).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(rows, "k").collect()}
     new = got[1].text
     for secret in ("Ann", "4111 1111", "4111111111111111", "2024-02-29", "31/12/1999", "10.1.2.3", "555-3824", "f33e61083db5"):
         assert secret not in new
@@ -275,7 +275,7 @@ def test_pseudonyms(spark, docs):
     odd = [int(c) for c in card[::-1]]
     assert (sum(odd[::2]) + sum(sum(divmod(2 * x, 10)) for x in odd[1::2])) % 10 == 0
     assert (got[3].text, got[3].n_found, got[4].text) == (None, 0, "")
-    clash = pseudonyms.pseudonymize(docs.withColumn("n_found", F.lit("x")))
+    clash = pseudonyms.pseudonymize(docs.withColumn("n_found", F.lit("x")), "k")
     assert clash.columns.count("n_found") == 1 and clash.count() == docs.count()
     assert pseudonyms.pseudonymize(rows, "other key").where("doc_id = 1").first().text != new
 
