@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bin_packing import op8_bin_packing
 from .decontaminate import op1_decontaminate
 from .language_mixture import op6_language_mixture
+from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op9_license_scan
 from .pseudonyms import op4_feistel_pseudonyms
 from .quality_rules import op7_quality_rules
@@ -13,6 +14,7 @@ from .similarity_join import op10_ngram_jaccard_join
 from .source_mixing import ORACLE as MIXING_SQL
 from .source_mixing import op3_source_mixing
 from .token_counts import op2_token_counts
+from .url_filters import ORACLE as URL_SQL
 from .url_filters import op5_url_filters
 
 QUERIES = {
@@ -29,4 +31,4 @@ QUERIES = {
 }
 
 #: The other operators learn, iterate, pack, hash with Spark's functions or call a tokenizer; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op5_url_filters": URL_SQL, "op9_license_scan": LICENSE_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
