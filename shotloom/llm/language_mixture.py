@@ -22,7 +22,7 @@ from . import common as C
 CLASSES = 1 << 15
 #: Languages whose counts a task holds before it passes them on.
 HELD = 256
-#: Word scores (words * languages) that are held at once, but for a single document of more.
+#: Word scores (words * languages) that are held at once; a document of more is read piece by piece in each round.
 SCORES = 1 << 23
 #: Added to each count.
 SMOOTH = 0.5
@@ -172,6 +172,46 @@ def infer(words: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS, penalty: fl
     return best
 
 
+def _em_pieces(pieces, share: np.ndarray, times: int, picked) -> tuple[np.ndarray, float, float]:
+    """_em of one document whose word log-likelihoods come piece by piece, anew on each call of pieces."""
+    share = np.maximum(share, 1e-4)
+    share /= share.sum()
+
+    def likes():
+        for words in pieces():
+            yield np.exp(words - words.max(1, keepdims=True))[:, picked]
+
+    for _ in range(times):
+        total, n = 0.0, 0
+        for like in likes():
+            part = share * like
+            total, n = total + (part / np.maximum(part.sum(1, keepdims=True), 1e-300)).sum(0), n + len(like)
+        share = total / n
+    fit, ratio, n = 0.0, 0.0, 0
+    for like in likes():
+        mix = np.maximum((share * like).sum(1), 1e-300)
+        fit, ratio, n = fit + np.log(mix).sum(), ratio + (like / mix[:, None]).sum(0), n + len(like)
+    return share, fit, n * np.log(max(ratio.max() / n, 1))
+
+
+def infer_long(pieces, n_words: int, n_langs: int, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
+    """infer for one document of any length: pieces() yields its word log-likelihoods in parts of bounded size."""
+    every = np.arange(n_langs)
+    share, fit, gain = _em_pieces(pieces, np.full(n_langs, 1.0 / n_langs), rounds, every)
+    bound = min(fit + gain, 0) + 1e-6 * (n_words + 1)
+    order, cost = np.argsort(-share, kind="stable"), penalty * np.log(max(n_words, 2))
+    best, best_fit = np.zeros(n_langs), -np.inf
+    for k in range(1, n_langs + 1):
+        if bound - (k - 1) * cost <= best_fit:
+            break
+        top = order[:k]
+        own, fit, _ = _em_pieces(pieces, share[top], 1 if k == 1 else 3, top)
+        if fit - (k - 1) * cost > best_fit:
+            best, best_fit = np.zeros(n_langs), fit - (k - 1) * cost
+            best[top] = own
+    return best
+
+
 _OUT = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 
@@ -192,6 +232,11 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
         while a < len(edge) - 1:
             b = max(a + 1, int(np.searchsorted(edge, edge[a] + SCORES // max(1, logs.shape[1]), "right")) - 1)
             i, j = edge[a], edge[b]
+            most = max(1, SCORES // max(1, logs.shape[1]))
+            if j - i > most:  # one document
+                yield infer_long(lambda i=i, j=j: (word_scores(data, starts[x : min(j, x + most)], ends[x : min(j, x + most)], logs) for x in range(i, j, most)), j - i, logs.shape[1])
+                a = b
+                continue
             yield from infer(word_scores(data, starts[i:j], ends[i:j], logs), edge[a : b + 1] - i)
             a = b
 
