@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 in the shared folder and hands the reread table to the next. All but the last return the columns of
 documents. SQL can't express the learned, iterative and packed stages, so ORACLE_SQL is None;
-tests/llm compares the stages with brute-force versions.
+tests/llm compares the operators with brute-force versions and the stages with what these decide.
 """
 
 from __future__ import annotations
@@ -42,16 +42,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = contaminated(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item; rows without an id or with a shared one are judged by their own text."""
+    text = F.xxhash64("text")
+    found = contaminated(docs.select(text.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", text).join(found, "__text", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that share id and text are taken alike."""
-    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(taken.where("__copies > 0"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    """Each row as many times as the mix takes it."""
+    taken = mix_sources(docs, carry=True).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
