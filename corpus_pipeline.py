@@ -35,10 +35,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__key", own)
     found = ngram_jaccard_join(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").dropDuplicates(["__key"])
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
-    first = keyed.select("doc_id", "__key").distinct().join(found, "__key").groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.key").alias("__key"))
+    rows = keyed.groupBy("doc_id", "__key").agg(F.count("*").alias("times"))
+    first = rows.join(found, "__key").groupBy("component_id").agg(F.min_by(F.struct("__key", "times"), order).alias("o")).select("o.*")
     nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(C.WORD)
-    kept = keyed.where(~nameless).join(first, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.unionByName(keyed.where(nameless)).select(*docs.columns)
+    # texts are shuffled only where rows are repeated
+    once = keyed.where(~nameless).join(first.where("times = 1").select("__key"), "__key", "left_semi")
+    repeated = keyed.where(~nameless).join(first.where("times > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(repeated).unionByName(keyed.where(nameless)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
