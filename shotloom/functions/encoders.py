@@ -31,17 +31,23 @@ def batched_encoder(load: Callable[[], Callable[[list], list[list[float]]]], dim
     return encode
 
 
-def best_effort(tool: Callable, returns: T.DataType):
-    """A column function giving struct(value, error)."""
+def best_effort(tool: Callable, returns: T.DataType, timeout: float | None = None):
+    """A column function giving struct(value, error); a call of more than timeout seconds is left behind, with TimeoutError as its row's error."""
 
     @F.pandas_udf(T.StructType([T.StructField("value", returns), T.StructField("error", T.StringType())]))
     def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
+        from concurrent.futures import ThreadPoolExecutor
+
+        rows, pool = [], ThreadPoolExecutor(1)
         for v in values:
             try:
-                rows.append((tool(v), None))
+                rows.append((tool(v) if timeout is None else pool.submit(tool, v).result(timeout), None))
             except Exception as e:  # the row's failure is its result
                 rows.append((None, f"{type(e).__name__}: {e}"))
+                if isinstance(e, TimeoutError):  # its thread may go on
+                    pool.shutdown(wait=False)
+                    pool = ThreadPoolExecutor(1)
+        pool.shutdown(wait=False)
         return pd.DataFrame(rows, columns=["value", "error"])
 
     return run
@@ -56,7 +62,7 @@ def one_to_many(tool: Callable[[bytes], list[tuple]], fields: str):
 
         def make(batches):
             for pdf in batches:
-                rows = [(*(r[n] for n in names), i, *x) for _, r in pdf.iterrows() for i, x in enumerate(tool(r[column]))]
+                rows = [(*(r[n] for n in names), i, *x) for r in pdf.to_dict("records") for i, x in enumerate(tool(r[column]))]
                 yield pd.DataFrame(rows, columns=[*names, "pos", *(f.split()[0] for f in fields.split(","))])
 
         return df.mapInPandas(make, schema)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def clamp(value: Column, low, high) -> Column:
@@ -14,13 +12,27 @@ def clamp(value: Column, low, high) -> Column:
 
 
 def round3(value: Column) -> Column:
+    """Rounds the decimal text; round3_exact tells ties of the binary value."""
     return F.round(value, 3)
 
 
-@F.pandas_udf(T.DoubleType())
-def round3_exact(value: pd.Series) -> pd.Series:
-    """Rounds the binary value correctly, for results that must agree at ties."""
-    return value.map(lambda x: None if pd.isna(x) else round(x, 3))
+def round3_exact(value: Column) -> Column:
+    """The double nearest to the binary value rounded to three places, half to even, as correct rounding gives it.
+
+    value * 1000 is split into a product and its error (Dekker), so that ties are told from values
+    just above or below, which decimal text can't do: 2.6755 is less than its text and becomes 2.675.
+    """
+
+    def rounded(x):
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        error = (high * 1000.0 - x * 1000.0) + (x - high) * 1000.0
+        floor = F.floor(x * 1000.0).cast("double")
+        above = (x * 1000.0 - (floor + 0.5)) + error
+        up = (above > 0) | ((above == 0) & (F.pmod(floor, F.lit(2.0)) == 1))
+        return F.when(F.abs(x) < 1e12, F.when(up, floor + 1).otherwise(floor) / 1000.0).otherwise(F.round(x, 3))
+
+    # a lambda, so that the value's expression stands in the plan once however calls are nested
+    return F.get(F.transform(F.array(value.cast("double")), rounded), F.lit(0))
 
 
 def strict_number(text: Column, default: float | None) -> Column:

@@ -17,8 +17,22 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def canonical_text(text: Column) -> Column:
-    """CR LF and CR become LF, then Unicode NFC. Pure ASCII text never leaves the JVM's fast path of the regex."""
-    return _nfc(F.regexp_replace(text, "\r\n?", "\n"))
+    """CR LF and CR become LF, then Unicode NFC. Only texts beyond ASCII are sent to Python."""
+    own = F.regexp_replace(text, "\r\n?", "\n")
+    return F.coalesce(_nfc(F.when(own.rlike(r"[^\x00-\x7F]"), own)), own)
+
+
+def camel_case(name: Column) -> Column:
+    """snake_case to camelCase: the first part stays, the others are capitalised."""
+    parts = F.split(name, "_")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2)))))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+
+def padded_id(prefix: Column, number: Column, digits: int = 4) -> Column:
+    """prefix:number with leading zeros; longer numbers keep all digits."""
+    text = number.cast("string")
+    return F.concat(prefix, F.lit(":"), F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0")))
 
 
 def sha256_hex(text: Column) -> Column:

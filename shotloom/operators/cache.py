@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import canonical_text, sha256_hex
+
 #: Values over this size bypass the cache. Fixed value.
 MAX_BYTES = 1 << 20
 #: Header of a stored vector: magic, version, dimension, two 32-byte identities; then big-endian float32. Fixed values.
@@ -20,7 +22,7 @@ MAGIC = b"SLV1"
 
 def hashed(texts: DataFrame) -> DataFrame:
     """(pos, text, text_hash) of non-blank texts."""
-    return texts.where(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")) != "").withColumn("text_hash", F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256))
+    return texts.where(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")) != "").withColumn("text_hash", sha256_hex(canonical_text(F.col("text"))))
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:

@@ -23,8 +23,15 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_seconds: fl
     return pairs.drop("__b", "r___b")
 
 
-def align_transcript(shots: DataFrame, segments: DataFrame, bucket_seconds: float = 21600.0) -> DataFrame:
-    """Text and number of the segments over each shot, in segment order; shots without one keep '' and 0."""
+def bucket_of(*sides: DataFrame) -> float:
+    """A bucket that nine of ten intervals of either side fit into: each then goes to two buckets or fewer, and a bucket holds few of them."""
+    lengths = [s.agg(F.percentile_approx(F.col("end_seconds") - F.col("start_seconds"), 0.9)).first()[0] for s in sides]
+    return max([float(x) for x in lengths if x is not None and x > 0], default=1.0)
+
+
+def align_transcript(shots: DataFrame, segments: DataFrame, bucket_seconds: float | None = None) -> DataFrame:
+    """Text and number of the segments over each shot, in segment order; shots without one keep '' and 0. The bucket comes from the lengths unless it is given."""
+    bucket_seconds = bucket_seconds or bucket_of(shots, segments)
     pairs = overlap_join(shots.select("media_id", "shot_id", "start_seconds", "end_seconds"), segments, "media_id", bucket_seconds)
     texts = pairs.groupBy("shot_id").agg(F.sort_array(F.collect_list(F.struct("r_pos", "r_text"))).alias("parts"), F.count("r_pos").alias("segment_count"))
     texts = texts.select("shot_id", F.trim(F.array_join("parts.r_text", " ")).alias("text"), "segment_count")

@@ -56,18 +56,27 @@ def stamped_headers(headers: Column, attempt: Column, error: Column) -> Column:
 def breaker_states(calls: DataFrame) -> DataFrame:
     """(key, seq, state, allowed) of ordered calls (key, seq, t, failed) through a breaker per key.
 
-    A fold over each key's calls in order; a key's calls are gathered, so it is for bounded logs.
-    The streaming operator keeps the same state without gathering.
+    Each key's calls pass by in order, batch by batch, with two numbers of state; none are gathered.
+    Calls without a t count as made while the breaker isn't waiting.
     """
-    gathered = calls.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "t", "failed"))).alias("calls"))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("opened"), F.array().cast("array<struct<seq:bigint,state:string,allowed:boolean>>").alias("log"))
-
-    def step(s, c):
-        waiting = s["opened"].isNotNull() & (c["t"] < s["opened"] + OPEN_SECONDS)
-        probe = s["opened"].isNotNull() & ~waiting
-        fails = F.when(waiting, s["fails"]).when(c["failed"], s["fails"] + 1).otherwise(0)
-        opened = F.when(waiting, s["opened"]).when(c["failed"] & (probe | (fails >= FAILURES)), c["t"])
-        state = F.when(waiting, "open").when(probe, "half-open").otherwise("closed")
-        return F.struct(fails.alias("fails"), opened.alias("opened"), F.concat(s["log"], F.array(F.struct(c["seq"].alias("seq"), state.alias("state"), (~waiting).alias("allowed")))).alias("log"))
-
-    return gathered.select("key", F.explode(F.aggregate("calls", start, step)["log"]).alias("x")).select("key", "x.*")
+
+    def run(batches):
+        import pandas as pd
+
+        key, fails, opened = object(), 0, None
+        for batch in batches:
+            out = []
+            for k, seq, t, failed in batch[["key", "seq", "t", "failed"]].itertuples(index=False):
+                if k != key:
+                    key, fails, opened = k, 0, None
+                if opened is not None and t < opened + OPEN_SECONDS:
+                    out.append((k, seq, "open", False))
+                    continue
+                out.append((k, seq, "closed" if opened is None else "half-open", True))
+                probe, fails = opened is not None, fails + 1 if failed else 0
+                opened = t if failed and (probe or fails >= FAILURES) else None
+            yield pd.DataFrame(out, columns=["key", "seq", "state", "allowed"])
+
+    types = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+    rows = calls.select("key", "seq", "t", "failed").repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInPandas(run, f"key {types['key']}, seq {types['seq']}, state string, allowed boolean")

@@ -47,16 +47,22 @@ def in_order(parts: Column) -> Column:
     return F.array_join(F.sort_array(parts)["text"], " ")
 
 
+def healthy(spark) -> DataFrame:
+    """One row (ok) if the store's engine answers."""
+    return spark.range(1).select(F.lit(1).alias("ok"))
+
+
 def write_replaced(content: DataFrame, path: str, partition: str) -> None:
-    """Stores one content per version folder and then moves the pointer file, so readers never see half of a write."""
+    """Stores one content per version folder and then adds a pointer to it, so readers see the last whole write at any time. The newest pointer counts."""
+    import time
     import uuid
 
     spark = content.sparkSession
     version = uuid.uuid4().hex
     content.write.partitionBy(partition).parquet(f"{path}/v={version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_current")
+    spark.createDataFrame([(time.time_ns(), version)], "written long, version string").coalesce(1).write.mode("append").parquet(f"{path}/_current")
 
 
 def read_replaced(spark, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/_current").first()[0]
+    version = spark.read.parquet(f"{path}/_current").agg(F.max_by("version", F.struct("written", "version"))).first()[0]
     return spark.read.parquet(f"{path}/v={version}")

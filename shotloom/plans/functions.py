@@ -100,13 +100,13 @@ def letterbox(spark, d):
     return _read(spark, d, "part").select("p_partkey", F.round(b["scale"], 9).alias("scale"), F.round(b["offset_x"], 6).alias("offset_x"), F.round(b["offset_y"], 6).alias("offset_y"), U.keeps_aspect(F.lit(1920), F.lit(1080), w, F.lit(900)).alias("aspect"))
 
 
-@query("ag_text_groups", "SELECT sha256(text) AS text_hash, min(doc_id) AS first_pos, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS positions FROM documents WHERE trim(text) <> '' GROUP BY sha256(text)")
+@query("ag_text_groups", "SELECT sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text_hash, min(doc_id) AS first_pos, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS positions FROM documents WHERE trim(text) <> '' GROUP BY sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))")
 def text_groups(spark, d):
     rows = K.text_groups(_read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text"))
     return rows.select("text_hash", "first_pos", "n", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@query("jn_expanded_results", "SELECT doc_id AS pos, sha256(text) AS text_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS encoded_at FROM documents WHERE trim(text) <> ''")
+@query("jn_expanded_results", "SELECT doc_id AS pos, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text_hash, min(doc_id) OVER (PARTITION BY sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))) AS encoded_at FROM documents WHERE trim(text) <> ''")
 def expanded(spark, d):
     texts = _read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
     once = K.distinct_texts(texts).select("text_hash", F.col("first_pos").alias("encoded_at"))
@@ -201,9 +201,15 @@ def route_counts(spark, d):
     return R.route(A.load(spark, d, A.MESSAGES)).groupBy("route").agg(F.count("*").alias("n"), F.sum("delay_seconds").alias("delay"))
 
 
-@query("st_circuit_breaker")
+@query("st_circuit_breaker", """WITH RECURSIVE c AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i,
+ date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 1e6 AS t, coalesce(value > 20, FALSE) AS failed FROM events),
+s(key, i, fails, opened, state) AS (SELECT key, 0::BIGINT, 0, NULL::DOUBLE, NULL::VARCHAR FROM c GROUP BY key UNION ALL
+ SELECT c.key, c.i, CASE WHEN c.t < s.opened + 10 THEN s.fails WHEN c.failed THEN s.fails + 1 ELSE 0 END,
+ CASE WHEN c.t < s.opened + 10 THEN s.opened WHEN c.failed AND (s.opened IS NOT NULL OR s.fails + 1 >= 5) THEN c.t END,
+ CASE WHEN c.t < s.opened + 10 THEN 'open' WHEN s.opened IS NOT NULL THEN 'half-open' ELSE 'closed' END FROM s JOIN c ON c.key = s.key AND c.i = s.i + 1)
+SELECT key, state, count(*) AS n FROM s WHERE i > 0 GROUP BY key, state""")
 def breaker(spark, d):
-    """Calls of each event type by time; a fold per key, checked by unit tests."""
+    """Calls of each event type by id; two numbers of state a key."""
     calls = _read(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)") / 1e6).alias("t"), (F.col("value") > 20).alias("failed"))
     return R.breaker_states(calls).groupBy("key", "state").agg(F.count("*").alias("n"))
 

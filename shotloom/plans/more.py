@@ -54,7 +54,7 @@ def visual_items(spark, d):
 def result_cache(spark, d):
     k = F.col("doc_id")
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (k % 4 != 0).alias("stored"), (k % 4 != 1).alias("valid"), F.array(F.when(k % 3 == 0, "M9").otherwise(" M1")).alias("ids"), F.array(F.lit("m1")).alias("trusted"), (k % 5 != 0).alias("complete"))
-    return rows.select("doc_id", G.cached_outcome().alias("outcome")).join(rows, "doc_id").select("doc_id", "outcome", ((F.col("outcome") != "hit") & F.col("complete")).alias("written"))
+    return rows.withColumn("outcome", G.cached_outcome()).select("doc_id", "outcome", ((F.col("outcome") != "hit") & F.col("complete")).alias("written"))
 
 
 @query("st_stale_points", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'replaced' WHEN 1 THEN 'kept' ELSE 'cleared' END AS transcript, CASE p_partkey % 3 WHEN 0 THEN 'replaced' ELSE 'cleared' END AS audio FROM part")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.routing import FAILURES, OPEN_SECONDS, route
@@ -44,9 +45,24 @@ def route_stream(stream: DataFrame, out: str, checkpoint: str):
 
 
 def due_retries(spark: SparkSession, out: str, now) -> DataFrame:
-    """Messages of the retry sink whose time has come, with the next attempt as their header."""
+    """Messages of the retry sink whose time has come and that are not acknowledged, with the next attempt as their header.
+
+    Until acknowledged they come again, so a handler that dies loses nothing.
+    """
     rows = spark.read.parquet(f"{out}/retry").where(F.col("not_before") <= now)
-    return rows.select("event_id", "value", F.col("next_attempt").cast("string").alias("attempt_header"), "handler_failed")
+    due = rows.select("event_id", "value", F.col("next_attempt").cast("string").alias("attempt_header"), "handler_failed")
+    try:
+        taken = spark.read.parquet(f"{out}/retry_acknowledged")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return due
+    return due.join(taken, ["event_id", "attempt_header"], "left_anti")
+
+
+def acknowledge(handled: DataFrame, out: str) -> None:
+    """Marks due retries (event_id, attempt_header) as handled, so that due_retries gives them no more."""
+    handled.select("event_id", "attempt_header").write.mode("append").parquet(f"{out}/retry_acknowledged")
 
 
 _STATE = "fails int, opened double"
