@@ -27,22 +27,32 @@ FORMS = (
 )
 #: Item kind that a form's target must have. Fixed values.
 KINDS = {"volume": "audio", "speed": "video"}
+#: A target that is a type and a number. Fixed value.
+ORDINAL = r"\A(clip|video|audio|text|item)\s+(\d+)\z"
+
+
+def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns as the output of a generator of one row, so that filters and later expressions refer to them by name. In a projection the optimizer would copy each expression into all of them, at every level."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def parse(commands: DataFrame) -> DataFrame:
     """Adds form, target, a and b (numbers or seconds); form is null for unknown commands."""
     own = F.trim(F.regexp_replace("command", r"(?U)[\s\x1c-\x1f]+", " "))
-    form, target, first, second = (F.lit(None).cast("string") for _ in range(4))
-    for name, pattern, (t, a, b) in reversed(FORMS):
-        whole = rf"(?i)\A(?:{pattern})\z"
-        hit = own.rlike(whole)
-        form = F.when(hit, name).otherwise(form)
-        take = lambda g, w=whole: F.nullif(F.regexp_extract(own, w, g), F.lit("")) if g else F.lit(None).cast("string")
-        target, first, second = F.when(hit, take(t)).otherwise(target), F.when(hit, take(a)).otherwise(first), F.when(hit, take(b)).otherwise(second)
-    rows = commands.withColumns({"form": form, "target": target, "raw_a": first, "raw_b": second})
+    whole = {name: rf"(?i)\A(?:{pattern})\z" for name, pattern, _ in FORMS}
+    form = F.coalesce(*(F.when(F.col("__own").rlike(whole[name]), name) for name, _, _ in FORMS))
+    rows = _fixed(_fixed(commands, __own=own), form=form)
+    parts = {}
+    for i, part in enumerate(("target", "raw_a", "raw_b")):
+        taken = F.lit(None).cast("string")
+        for name, _, groups in FORMS:
+            if groups[i]:
+                taken = F.when(F.col("form") == name, F.nullif(F.regexp_extract("__own", whole[name], groups[i]), F.lit(""))).otherwise(taken)
+        parts[part] = taken
+    rows = _fixed(rows, **parts).drop("__own")
     number = F.col("form").isin("volume", "speed")
     value = F.when(number, F.col("raw_a").try_cast("double")).when(F.col("form") == "split_here", F.col("playhead")).when((F.col("form") == "add_text") & F.col("raw_a").isNull(), F.col("playhead")).otherwise(seconds_literal(F.col("raw_a")))
-    return rows.withColumns({"a": value, "b": seconds_literal(F.col("raw_b"))})
+    return _fixed(rows, a=value, b=seconds_literal(F.col("raw_b")))
 
 
 def compatible(item_type: Column, kind: Column) -> Column:
@@ -54,27 +64,37 @@ def targets(parsed: DataFrame, items: DataFrame) -> DataFrame:
 
     A target text is tried as an id, then as an ordinal within its type, then as part of an id or
     text. Without one, the active item counts if it has the kind, otherwise the selected items.
+    Ids and ordinals are one equi-join on (document, key); only other texts are held against every
+    item of their document. Items are numbered once, not for each command.
     """
     kind = F.lit(None).cast("string")
     for form, k in KINDS.items():
         kind = F.when(F.col("form") == form, k).otherwise(kind)
-    wanted = parsed.where("form is not null and form <> 'add_text'").withColumn("kind", kind).withColumn("text_target", F.lower(F.trim("target")))
-    order = Window.partitionBy("command_id").orderBy("track_index", "item_index")
-    both = wanted.select("command_id", "document_id", "kind", "text_target", "active_id", "selected").join(items.withColumn("item_text", F.lower("text")), "document_id").where(compatible(F.col("item_type"), F.col("kind")))
-    word = F.regexp_extract("text_target", r"\A(clip|video|audio|text|item)\s+(\d+)\z", 1)
-    number = F.regexp_extract("text_target", r"\A(clip|video|audio|text|item)\s+(\d+)\z", 2).try_cast("int")
-    class_ok = (word == "item") | (word.isin("clip", "video") & (F.col("item_type") == "video")) | (word.isin("audio", "text") & (F.col("item_type") == word))
-    both = both.withColumns({
-        "nth": F.sum(F.when(class_ok, 1).otherwise(0)).over(order),
-        "class_ok": class_ok, "word": word, "number": number,
-    })
-    exact = F.lower("item_id") == F.col("text_target")
-    part = F.contains(F.lower("item_id"), F.col("text_target")) | F.coalesce(F.contains("item_text", F.col("text_target")), F.lit(False))
-    stage = F.when(F.col("text_target").isNull(), F.when(F.col("item_id") == F.col("active_id"), 1).when(F.array_contains("selected", F.col("item_id")), 2)).when(exact, 1).when(F.col("word") != "", F.when(F.col("class_ok") & (F.col("nth") == F.col("number")), 2)).when(part, 3)
-    both = both.withColumn("stage", stage).where("stage is not null")
-    # several rows of the active item count once; a selection that includes it is not looked at
-    best = both.withColumn("best", F.min("stage").over(Window.partitionBy("command_id"))).where("stage = best")
-    return best.groupBy("command_id").agg(F.count("*").alias("matches"), F.min_by(F.struct("item_id", "item_type", "timeline_start", "duration", "source_in", "source_out", "speed"), F.struct("track_index", "item_index")).alias("item"))
+    wanted = _fixed(parsed.where("form is not null and form <> 'add_text'"), kind=kind, text_target=F.lower(F.trim("target")))
+    wanted = _fixed(wanted, word=F.regexp_extract("text_target", ORDINAL, 1), number=F.regexp_extract("text_target", ORDINAL, 2).try_cast("int"))
+    key = lambda stage, *parts: F.struct(F.lit(stage).alias("stage"), F.concat(*parts).alias("key"))
+    of_type = F.when(F.col("word") == "item", F.coalesce("kind", F.lit(""))).when(F.col("word") == "clip", "video").otherwise(F.col("word"))
+    named = F.array(key(1, F.lit("text "), F.col("text_target")), key(2, F.lit("nth "), of_type, F.lit(" "), F.when(F.col("word") != "", F.col("number")).cast("string")))
+    picked = F.array_distinct(F.coalesce("selected", F.array().cast("array<string>")))
+    unnamed = F.concat(F.array(key(1, F.lit("id "), F.col("active_id"))), F.transform(picked, lambda x: key(2, F.lit("id "), x)))
+    keys = wanted.select("command_id", "document_id", "kind", F.explode(F.when(F.col("text_target").isNull(), unnamed).otherwise(named)).alias("k")).select("command_id", "document_id", "kind", "k.*")
+
+    place = F.struct("track_index", "item_index", "item_id")
+    item = F.struct("item_id", "item_type", "timeline_start", "duration", "source_in", "source_out", "speed")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("track_index", "item_index", "item_id")).cast("string")
+    known = items.withColumns({"nth": nth("document_id"), "nth_of_type": nth("document_id", "item_type")})
+    names = F.array(F.concat(F.lit("text "), F.lower("item_id")), F.concat(F.lit("id "), "item_id"), F.concat(F.lit("nth  "), "nth"), F.concat(F.lit("nth "), "item_type", F.lit(" "), "nth_of_type"))
+    known = known.select("document_id", place.alias("place"), item.alias("item"), F.explode(names).alias("key"))
+    whole = keys.join(known, ["document_id", "key"]).select("command_id", "kind", "stage", "place", "item")
+
+    other = wanted.where("text_target is not null and word = ''").select("command_id", "document_id", "kind", "text_target")
+    held = items.select("document_id", place.alias("place"), item.alias("item"), F.lower("item_id").alias("id_text"), F.lower("text").alias("item_text"))
+    part = F.contains("id_text", F.col("text_target")) | F.coalesce(F.contains("item_text", F.col("text_target")), F.lit(False))
+    parts = other.join(held, "document_id").where(part).select("command_id", "kind", F.lit(3).alias("stage"), "place", "item")
+
+    found = whole.unionByName(parts).where(compatible(F.col("item.item_type"), F.col("kind")))
+    stages = found.groupBy("command_id", "stage").agg(F.count("*").alias("matches"), F.min_by("item", "place").alias("item"))
+    return stages.groupBy("command_id").agg(F.min_by(F.struct("matches", "item"), "stage").alias("best")).select("command_id", "best.*")
 
 
 def plan(commands: DataFrame, items: DataFrame) -> DataFrame:
@@ -82,17 +102,15 @@ def plan(commands: DataFrame, items: DataFrame) -> DataFrame:
     parsed = parse(commands)
     rows = parsed.join(targets(parsed, items), "command_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     bare_delete = (F.col("form") == "delete") & F.col("target").isNull()
-    known = items.select("document_id", "item_id").distinct()
-    picked = parsed.where(bare_delete).select("command_id", "document_id", F.posexplode("selected").alias("p", "item_id")).join(known, ["document_id", "item_id"])
+    known = items.select("document_id", "item_id")
+    picked = parsed.where(bare_delete).select("command_id", "document_id", F.posexplode("selected").alias("p", "item_id")).join(known, ["document_id", "item_id"], "left_semi")
     picked = picked.groupBy("command_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("p", "item_id")))["item_id"]).alias("picked"))
     rows = rows.join(picked, "command_id", "left")
-    start = F.when(F.col("form") == "trim_to", F.col("item.timeline_start")).otherwise(F.col("a"))
-    end = F.when(F.col("form") == "trim_to", F.col("item.timeline_start") + F.col("a")).otherwise(F.col("b"))
-    trim = F.col("form").isin("trim_range", "trim_to")
-    length = round3(end - start)
-    source = source_range(F.col("item.item_type"), F.col("item.source_in"), F.col("item.source_out"), F.col("item.speed"), F.col("item.timeline_start"), start, length)
-    offset = round3(F.col("a") - F.col("item.timeline_start"))
-    split = F.col("form").isin("split_here", "split_at")
+    trim, split = F.col("form").isin("trim_range", "trim_to"), F.col("form").isin("split_here", "split_at")
+    to = F.col("form") == "trim_to"
+    rows = _fixed(rows, start=F.when(to, F.col("item.timeline_start")).otherwise(F.col("a")), end=F.when(to, F.col("item.timeline_start") + F.col("a")).otherwise(F.col("b")))
+    rows = _fixed(rows, length=round3(F.col("end") - F.col("start")), offset=round3(F.col("a") - F.col("item.timeline_start")))
+    rows = _fixed(rows, src=source_range(F.col("item.item_type"), F.col("item.source_in"), F.col("item.source_out"), F.col("item.speed"), F.col("item.timeline_start"), F.col("start"), F.col("length")))
     reason = (
         F.when(F.trim("command") == "", "empty command")
         .when(F.col("form").isNull(), "unsupported command")
@@ -104,12 +122,12 @@ def plan(commands: DataFrame, items: DataFrame) -> DataFrame:
         .when(bare_delete, F.when(F.col("picked").isNull(), "nothing selected"))
         .when((F.col("form") != "add_text") & (F.col("matches") == 0), "no match")
         .when((F.col("form") != "add_text") & (F.col("matches") > 1), "ambiguous")
-        .when(trim & (end <= start), "end before start")
-        .when(trim & ~source["ok"], "outside source")
-        .when(split & ((offset <= 0) | (offset >= F.col("item.duration"))), "split outside item")
+        .when(trim & (F.col("end") <= F.col("start")), "end before start")
+        .when(trim & ~F.col("src.ok"), "outside source")
+        .when(split & ((F.col("offset") <= 0) | (F.col("offset") >= F.col("item.duration"))), "split outside item")
     )
     action = F.create_map(*(F.lit(x) for pair in {"split_here": "splitItem", "split_at": "splitItem", "add_text": "addText", "trim_range": "trimItem", "trim_to": "trimItem", "delete": "deleteItems", "move": "moveItem", "volume": "updateAudio", "speed": "updateSpeed"}.items() for x in pair))
-    out = rows.withColumns({"reason": reason, "start": start, "length": length, "src": source})
+    out = _fixed(rows, reason=reason)
     fine = F.col("reason").isNull()
     return out.select(
         "command_id", fine.alias("ok"), F.when(fine, F.try_element_at(action, F.col("form"))).alias("action"),

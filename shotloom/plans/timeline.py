@@ -169,9 +169,49 @@ def _commands(spark, document):
     return spark.createDataFrame(rows, "command_id int, document_id long, command string, playhead double, active_id string, selected array<string>")
 
 
-@query("pl_planned_commands")
+def _planned_sql() -> str:
+    """The planner as SQL: every command beside every item of its document, matched stage by stage."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    whole = {name: text(rf"(?i)\A(?:{pattern})\z") for name, pattern, _ in P.FORMS}
+    forms = " ".join(f"WHEN regexp_matches(own, {whole[n]}) THEN '{n}'" for n, _, _ in P.FORMS)
+    taken = [" ".join(f"WHEN '{n}' THEN nullif(regexp_extract(own, {whole[n]}, {g[i]}), '')" for n, _, g in P.FORMS if g[i]) for i in range(3)]
+    seconds = lambda x: rf"TRY_CAST(nullif(regexp_extract(lower(trim({x})), '\A(\d+(?:\.\d+)?)\s*(?:s|sec|secs|second|seconds)?\z', 1), '') AS DOUBLE)"
+    return f"""{_ITEMS}, given AS (SELECT * FROM (VALUES {", ".join(f"({i}, {text(c)})" for i, c in enumerate(COMMANDS))}) v(no, command)),
+ worded AS (SELECT *, trim(regexp_replace(command, '\\s+', ' ', 'g')) AS own FROM given),
+ formed AS (SELECT *, CASE {forms} END AS form FROM worded),
+ split AS (SELECT *, CASE form {taken[0]} END AS target, CASE form {taken[1]} END AS raw_a, CASE form {taken[2]} END AS raw_b FROM formed),
+ parsed AS (SELECT no, command, form, target, lower(trim(target)) AS tt, CASE form WHEN 'volume' THEN 'audio' WHEN 'speed' THEN 'video' END AS kind, {seconds("raw_b")} AS b,
+  CASE WHEN form IN ('volume', 'speed') THEN TRY_CAST(raw_a AS DOUBLE) WHEN form = 'split_here' OR (form = 'add_text' AND raw_a IS NULL) THEN 2.0 ELSE {seconds("raw_a")} END AS a FROM split),
+ chosen AS (SELECT document_id, list(item_id ORDER BY item_id) AS selected, min(item_id) AS active_id FROM i WHERE layer_order = 1 GROUP BY document_id),
+ r AS (SELECT document_id * 100 + no AS command_id, * FROM chosen, parsed),
+ beside AS (SELECT i.*, r.command_id, r.tt, r.active_id, r.selected, regexp_extract(r.tt, {text(P.ORDINAL)}, 1) AS word, TRY_CAST(regexp_extract(r.tt, {text(P.ORDINAL)}, 2) AS INT) AS number
+  FROM r JOIN i ON i.document_id = r.document_id WHERE r.form <> 'add_text' AND (r.kind IS NULL OR i.item_type = r.kind)),
+ classed AS (SELECT *, coalesce(word = 'item' OR (word IN ('clip', 'video') AND item_type = 'video') OR (word IN ('audio', 'text') AND item_type = word), false) AS class_ok FROM beside),
+ counted AS (SELECT *, sum(CAST(class_ok AS INT)) OVER (PARTITION BY command_id ORDER BY track_index, item_index) AS nth FROM classed),
+ staged AS (SELECT *, CASE WHEN tt IS NULL THEN CASE WHEN item_id = active_id THEN 1 WHEN list_contains(selected, item_id) THEN 2 END WHEN lower(item_id) = tt THEN 1
+  WHEN word <> '' THEN CASE WHEN class_ok AND nth = number THEN 2 END WHEN contains(lower(item_id), tt) OR coalesce(contains(lower(text), tt), false) THEN 3 END AS stage FROM counted),
+ best AS (SELECT * FROM staged WHERE stage IS NOT NULL QUALIFY stage = min(stage) OVER (PARTITION BY command_id)),
+ m AS (SELECT command_id, count(*) AS matches, arg_min(struct_pack(item_id, item_type, timeline_start, duration, source_in, source_out, speed), track_index * 1000000 + item_index) AS it FROM best GROUP BY command_id),
+ x AS (SELECT r.*, coalesce(m.matches, 0) AS matches, m.it, coalesce(form = 'delete' AND target IS NULL, false) AS bare, coalesce(form IN ('trim_range', 'trim_to'), false) AS trims, coalesce(form IN ('split_here', 'split_at'), false) AS splits,
+  CASE WHEN form = 'trim_to' THEN m.it.timeline_start ELSE a END AS first, CASE WHEN form = 'trim_to' THEN m.it.timeline_start + a ELSE b END AS last FROM r LEFT JOIN m ON m.command_id = r.command_id),
+ y AS (SELECT *, round(last - first, 3) AS length, coalesce(nullif(it.speed, 0), 1) AS rate, round(a - it.timeline_start, 3) AS inner_at FROM x),
+ z AS (SELECT *, round(it.source_in + (first - it.timeline_start) * rate, 3) AS s0 FROM y),
+ w AS (SELECT *, round(s0 + length * rate, 3) AS s1, it.item_type IN ('video', 'audio') AS media FROM z),
+ k AS (SELECT *, CASE WHEN trim(command) = '' THEN 'empty command' WHEN form IS NULL THEN 'unsupported command' WHEN a IS NULL AND form <> 'delete' THEN 'invalid time' WHEN form = 'trim_range' AND b IS NULL THEN 'invalid time'
+  WHEN form = 'trim_range' AND b <= a THEN 'end before start' WHEN form = 'volume' AND NOT a BETWEEN 0 AND 100 THEN 'volume out of range' WHEN form = 'speed' AND a <= 0 THEN 'speed out of range' WHEN bare THEN NULL
+  WHEN form <> 'add_text' AND matches = 0 THEN 'no match' WHEN form <> 'add_text' AND matches > 1 THEN 'ambiguous' WHEN trims AND last <= first THEN 'end before start'
+  WHEN trims AND media AND NOT coalesce(s0 >= it.source_in AND s1 <= it.source_out AND s1 > s0, false) THEN 'outside source' WHEN splits AND (inner_at <= 0 OR inner_at >= it.duration) THEN 'split outside item' END AS reason FROM w)
+ SELECT command_id, reason IS NULL AS ok, CASE WHEN reason IS NULL THEN CASE form WHEN 'split_here' THEN 'splitItem' WHEN 'split_at' THEN 'splitItem' WHEN 'add_text' THEN 'addText' WHEN 'trim_range' THEN 'trimItem' WHEN 'trim_to' THEN 'trimItem'
+  WHEN 'delete' THEN 'deleteItems' WHEN 'move' THEN 'moveItem' WHEN 'volume' THEN 'updateAudio' WHEN 'speed' THEN 'updateSpeed' END END AS action,
+  CASE WHEN reason IS NULL THEN CASE WHEN bare THEN array_to_string(selected, ',') WHEN form <> 'add_text' THEN it.item_id END END AS item_ids,
+  CASE WHEN reason IS NULL AND (trims OR splits OR form IN ('move', 'add_text')) THEN round(first, 3) END AS start, CASE WHEN reason IS NULL AND trims THEN length END AS duration,
+  CASE WHEN reason IS NULL AND trims AND media THEN s0 END AS source_in, CASE WHEN reason IS NULL AND trims AND media THEN s1 END AS source_out,
+  CASE WHEN reason IS NULL AND form = 'volume' THEN round(a / 100, 3) WHEN reason IS NULL AND form = 'speed' THEN round(a, 3) END AS value, reason FROM k"""
+
+
+@query("pl_planned_commands", _planned_sql())
 def planned_commands(spark, d):
-    """Every command on every document's timeline. No SQL: staged matching; unit tests hold the cases."""
+    """Every command on every document's timeline."""
     items = _items(spark, d)
     commands = _commands(spark, 0).drop("document_id", "selected", "active_id")
     chosen = items.where("layer_order = 1").groupBy("document_id").agg(F.sort_array(F.collect_list("item_id")).alias("selected"), F.min("item_id").alias("active_id"))
