@@ -9,6 +9,7 @@ from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op9_license_scan
 from .pseudonyms import op4_feistel_pseudonyms
 from .quality_rules import op7_quality_rules
+from .quantile_summaries import op11_quantile_summaries
 from .similarity_join import ORACLE as JACCARD_SQL
 from .similarity_join import op10_ngram_jaccard_join
 from .source_mixing import ORACLE as MIXING_SQL
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_bin_packing": op8_bin_packing,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_quantile_summaries": op11_quantile_summaries,
 }
 
 #: The other operators learn, iterate, pack, hash with Spark's functions or call a tokenizer; tests/llm holds them against brute force.
