@@ -17,6 +17,8 @@ from .source_mixing import op3_source_mixing
 from .token_counts import op2_token_counts
 from .url_filters import ORACLE as URL_SQL
 from .url_filters import op5_url_filters
+from .vector_codes import ORACLE as CODES_SQL
+from .vector_codes import op13_vector_codes
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -30,7 +32,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_quantile_summaries": op11_quantile_summaries,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The other operators learn, iterate, pack, hash with Spark's functions or call a tokenizer; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op5_url_filters": URL_SQL, "op9_license_scan": LICENSE_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op5_url_filters": URL_SQL, "op9_license_scan": LICENSE_SQL, "op10_ngram_jaccard_join": JACCARD_SQL, "op13_vector_codes": CODES_SQL}
