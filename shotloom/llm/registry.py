@@ -7,6 +7,8 @@ from .decontaminate import op1_decontaminate
 from .language_mixture import op6_language_mixture
 from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op9_license_scan
+from .line_dedup import ORACLE as LINES_SQL
+from .line_dedup import op12_line_dedup
 from .pseudonyms import op4_feistel_pseudonyms
 from .quality_rules import op7_quality_rules
 from .quantile_summaries import op11_quantile_summaries
@@ -32,8 +34,9 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_quantile_summaries": op11_quantile_summaries,
+    "op12_line_dedup": op12_line_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
 #: The other operators learn, iterate, pack, hash with Spark's functions or call a tokenizer; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op5_url_filters": URL_SQL, "op9_license_scan": LICENSE_SQL, "op10_ngram_jaccard_join": JACCARD_SQL, "op13_vector_codes": CODES_SQL}
+ORACLES: dict[str, str] = {"op3_source_mixing": MIXING_SQL, "op5_url_filters": URL_SQL, "op9_license_scan": LICENSE_SQL, "op10_ngram_jaccard_join": JACCARD_SQL, "op12_line_dedup": LINES_SQL, "op13_vector_codes": CODES_SQL}
