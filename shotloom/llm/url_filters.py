@@ -14,7 +14,7 @@ domain among the hosts seen, both ways.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -47,16 +47,19 @@ def path_of(url):
     return F.when((F.instr(url, "://") > 0) & (at > 0), F.substr(rest, at)).otherwise("")
 
 
-def suffixes(host):
-    """The host and every domain above it."""
-    parts = F.split(host, "[.]")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def labels_in(name):
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
 
 
 def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, rule, verdict) of the longest rule that fits each distinct (host, path); places without one are left out."""
+    """(host, path, rule, verdict) of the longest rule that fits each distinct (host, path); places without one are left out.
+
+    Of a host only its last labels are tried, as many as the longest rule's domain has.
+    """
     split = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("domain"), F.substr(F.col("rule"), F.instr("rule", "/")).alias("start"))
-    wide = places.where("host <> ''").select("host", "path", F.explode(suffixes(F.col("host"))).alias("domain"))
+    deepest = split.agg(F.max(labels_in(F.col("domain")))).first()[0] or 0
+    wide = places.where("host <> ''").withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(1, deepest)), labels_in(F.col("host"))))))
+    wide = wide.select("host", "path", F.expr("substring_index(host, '.', -i)").alias("domain"))
     fits = wide.join(split, "domain").where(F.startswith(F.col("path"), F.col("start")))
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("rule"), F.col("verdict")))
     return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
@@ -68,14 +71,29 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst").distinct()
 
 
+def nearest_parents(hosts: DataFrame) -> DataFrame:
+    """(host, parent) for every distinct host that ends in another one of the table at a label's edge; the longest such end.
+
+    Linear in the hosts' lengths: labels are exploded from the last one on with the host's hash alone, and an end is known
+    by the exclusive or of its labels' hashes, each taken with its place. Pairs found by their 128 bits are compared as text.
+    """
+    seeded = lambda *c: (F.xxhash64(*c), F.xxhash64(F.lit("second"), *c))
+    named = hosts.select("host", *(h.alias(n) for n, h in zip(("h1", "h2"), seeded("host"), strict=True)))
+    labels = named.select("h1", "h2", F.posexplode(F.reverse(F.split("host", "[.]"))).alias("j", "label"))
+    upto = Window.partitionBy("h1", "h2").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    one, two = seeded("label", "j")
+    ends = labels.withColumns({"e1": F.bit_xor(one).over(upto), "e2": F.bit_xor(two).over(upto), "n": F.count("*").over(Window.partitionBy("h1", "h2"))})
+    whole = ends.where("j = n - 1").select("e1", "e2", F.col("h1").alias("p1"), F.col("h2").alias("p2"))
+    found = ends.where("j < n - 1").select("h1", "h2", "j", "e1", "e2").join(whole, ["e1", "e2"]).groupBy("h1", "h2").agg(F.max_by(F.struct("p1", "p2"), "j").alias("p")).select("h1", "h2", "p.*")
+    parents = named.select(F.col("host").alias("parent"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
+    return found.join(named, ["h1", "h2"]).join(parents, ["p1", "p2"]).where(F.endswith("host", F.concat(F.lit("."), F.col("parent")))).select("host", "parent")
+
+
 def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst): the links and the ties of hosts to parent domains; no self edges, repeated links count once."""
-    names = hosts.select(F.col("host").alias("dst"))
-    up = hosts.select("host", F.posexplode(F.slice(suffixes(F.col("host")), F.lit(2), F.size(F.split("host", "[.]")))).alias("i", "dst"))
-    up = up.join(names, "dst", "left_semi").groupBy("host").agg(F.min_by("dst", "i").alias("dst"))
-    ties = up.select(F.col("host").alias("src"), "dst").unionByName(up.select(F.col("dst").alias("src"), F.col("host").alias("dst")))
-    both = links.unionByName(ties).where("src <> dst").distinct()
-    return both
+    up = C.cut(nearest_parents(hosts))
+    ties = up.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(up.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
+    return links.unionByName(ties).where("src <> dst").distinct()
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -111,7 +129,8 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, thresho
     A null url or one without :// has an empty host and path, no rule and verdict allow. The longest
     fitting rule wins, equal lengths by text. Links to hosts without pages count; for such a host the
     longest rule that fits its path / gives the seed, so rules for parts of it don't. Hosts without edges keep their own seeds. Null html has
-    no links. Repeated rows stay; they seed as often as they occur. Empty tables give an empty result.
+    no links. Repeated rows stay; they seed as often as they occur. Work is
+    linear in the length of a url, a link and a host, whatever its labels. Extra columns are ignored. Empty tables give an empty result.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col("url"), F.lit(""))

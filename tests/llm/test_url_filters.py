@@ -71,3 +71,32 @@ def test_the_whole_filter_against_a_plain_version(spark):
         assert (got[i].rule, got[i].verdict) == (rule, verdict or ("block" if bad else "allow"))
     assert got[200].verdict == got[201].verdict == "allow" and got[201].host == ""
     assert {got[i].verdict for i in place if got[i].rule is None} == {"allow", "block"}
+
+
+def test_nearest_parents_equal_a_plain_version(spark):
+    r = random.Random(8)
+    names = sorted({".".join(r.choice(("a", "b", "", "ab")) for _ in range(r.randrange(1, 6))) for _ in range(300)} - {""})
+    got = {(x.host, x.parent) for x in U.nearest_parents(spark.createDataFrame([(n,) for n in names], "host string")).collect()}
+    want = set()
+    for n in names:
+        parts = n.split(".")
+        ups = [".".join(parts[i:]) for i in range(1, len(parts)) if ".".join(parts[i:]) in names]
+        want |= {(n, ups[0])} if ups else set()
+    assert got == want
+
+
+def test_hosts_of_very_many_labels(spark):
+    import time
+
+    deep = ".".join("a" for _ in range(100_000))
+    rows = [(1, f"http://{deep}.example.net/x", f'<a href="http://{deep}/">'), (2, "http://example.net/en/", f'<a href="http://b.{deep}.net/">'), (3, "http://w.example.com/de/1", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    U.filter_urls(pages.where("page_id = 3")).collect()  # the compiler's start isn't counted
+    began = time.time()
+    got = {x.page_id: (x.rule, x.verdict, len(x.host)) for x in U.filter_urls(pages).collect()}
+    assert got == {1: ("net/", "block", 2 * 100_000 + 11), 2: ("example.net/en/", "allow", 11), 3: ("example.com/de/", "block", 13)}
+    assert time.time() - began < 60
+    began = time.time()
+    hosts = spark.createDataFrame([(deep,), (f"b.{deep}",), ("a",)], "host string")
+    assert {len(x.parent) for x in U.nearest_parents(hosts).collect()} == {1, len(deep)}
+    assert time.time() - began < 10
