@@ -46,6 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name beginning with stem that df doesn't have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while stem.lower() in held:
+        stem += "_"
+    return stem
+
+
 def words_of(text) -> F.Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

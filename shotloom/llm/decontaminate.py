@@ -117,7 +117,7 @@ def canonical(data: np.ndarray, off: np.ndarray, names: bool = True):
     return hashes[at], slot, starts[at], ends[last], np.searchsorted(at, edge), own
 
 
-_WINDOWS = "id long, t long, reading int, length int, gram long, place int, exact boolean, shape long, slots array<string>"
+_WINDOWS = "t long, reading int, length int, gram long, place int, exact boolean, shape long, slots array<string>"
 
 
 def _shape(hashes: np.ndarray, slot: np.ndarray, words: np.ndarray) -> int:
@@ -143,8 +143,9 @@ def _windows(rows: DataFrame, lengths, allowed, whole: bool) -> DataFrame:
 
         bits = allowed.value if allowed is not None else None
         names = ["id", "t", "reading", "length", "gram", "place", "exact", "shape", "slots"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
         for batch in batches:
+            own = batch.schema.field(0).type
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for (first, _, data, off), reading in ((x, y) for x in C.text_buffers(batch.column(2)) for y in (0, 1)):
                 hashes, slot, starts, ends, edge, words = canonical(data, off, reading == 0)
@@ -174,9 +175,9 @@ def _windows(rows: DataFrame, lengths, allowed, whole: bool) -> DataFrame:
                         for c, v in zip(out, (ids[first + r], marks[first + r], reading, k, int(grams[i].astype(np.int64)), int(i - edge[r]), bool(exact[i]), shapes[r], values), strict=True):
                             c.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (own, *kinds), strict=True)], names)
 
-    return rows.mapInArrow(make, _WINDOWS)
+    return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, {_WINDOWS}")
 
 
 def _bit_map(windows: DataFrame) -> np.ndarray:

@@ -329,8 +329,9 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
         ))
 
     changed = F.when(text.rlike(HINT), let(found, lambda v: F.when(F.size(v) > 0, change(v))))
-    out = docs.withColumn("__p", changed)
-    return out.withColumns({"text": F.coalesce("__p.text", "text"), "n_found": F.coalesce("__p.n_found", F.lit(0)), "n_replaced": F.coalesce("__p.n_replaced", F.lit(0))}).drop("__p")
+    own = C.fresh(docs, "p")
+    out = docs.withColumn(own, changed)
+    return out.withColumns({"text": F.coalesce(f"{own}.text", "text"), "n_found": F.coalesce(f"{own}.n_found", F.lit(0)), "n_replaced": F.coalesce(f"{own}.n_replaced", F.lit(0))}).drop(own)
 
 
 def op4_feistel_pseudonyms(spark, sf_dir):

@@ -99,12 +99,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     """
     ids = C.cut(_trusted(labels, trusted))
     ratios = C.cut(log_ratios(docs, ids, buckets, prior))
-    table = F.col("__r")  # a scalar subquery's value: each executor holds it once
-    held = docs.select("doc_id", "text").join(F.broadcast(ids.where("held")), "doc_id", "left_semi").withColumn("__r", ratios.scalar())
+    held_r, held_t, held_m = (C.fresh(docs, c) for c in ("ratios", "least", "measured"))
+    table = F.col(held_r)  # a scalar subquery's value: each executor holds it once
+    held = docs.select("doc_id", "text").join(F.broadcast(ids.where("held")), "doc_id", "left_semi").withColumn(held_r, ratios.scalar())
     held = held.select(let(word_hashes(F.col("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, _mean_ratio(h, table, buckets))).alias("score"))
     threshold = C.cut(held.agg((F.percentile("score", QUANTILE) - MARGIN).alias("threshold")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    least = F.coalesce(F.col("__t"), F.lit(float("-inf")))
+    least = F.coalesce(F.col(held_t), F.lit(float("-inf")))
 
     def measure(h):
         """One struct, decision included, so that a filter on it evaluates it once."""
@@ -113,13 +114,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
         whole = lambda r, s: F.struct(n.alias("n_words"), r.alias("n_repeat_words"), failed(r).alias("base_failed"), s.alias("score"), (~failed(r) & (s >= least)).alias("kept"))
         return let(repeated_words(h), lambda r: let(_mean_ratio(h, table, buckets), lambda s: whole(r, s)))
 
-    found = docs.withColumns({"__r": ratios.scalar(), "__t": threshold.scalar()}).withColumn("__m", let(word_hashes(F.col("text")), measure))
+    found = docs.withColumns({held_r: ratios.scalar(), held_t: threshold.scalar()}).withColumn(held_m, let(word_hashes(F.col("text")), measure))
     return found.withColumns({
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": duplicate_lines(text),
-        **{c: F.col(f"__m.{c}") for c in ("n_words", "n_repeat_words", "base_failed", "score", "kept")},
-    }).drop("__m", "__r", "__t")
+        **{c: F.col(f"{held_m}.{c}") for c in ("n_words", "n_repeat_words", "base_failed", "score", "kept")},
+    }).drop(held_m, held_r, held_t)
 
 
 def op7_quality_rules(spark, sf_dir):

@@ -10,8 +10,9 @@ named by a row number that is written with it, and only classes are joined.
 2. Star round: in each list, members are paired with the list's first member and with their
    predecessor, which is linear in the list. Pairs that hold are joined to components.
 3. Rest round: members of one list that are in different components are paired where sizes,
-   positions and parity maps allow the similarity (all three are bounds, none loses a link). One
-   side leaves out the list's largest component, so a list that is nearly one component stays cheap.
+   positions and parity maps allow the similarity (all three are bounds, none loses a link). The set
+   that isn't larger takes part with a shorter prefix only, which holds their first common n-gram. No
+   pair is inside the list's largest component, so a list that is nearly one component stays cheap.
 4. Every pair is held against wider parity maps, as many bits as the sets have n-grams.
 5. Verification cuts the global order into fragments of equal mass. Each document's fragments are
    written once; each fragment counts its part of a pair's overlap by itself, and the partial counts
@@ -164,7 +165,7 @@ def global_order(docs: DataFrame, n: int, bits: int | None = None, fragments: in
     return GlobalOrder(level, mean, _cuts({int(k): int(mass[k]) for k in np.flatnonzero(mass)}, fragments))
 
 
-_PROFILE = "doc_id long, t long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
+_PROFILE = "t long, n long, s1 long, s2 long, wide binary, bits array<long>, prefix array<long>, salts array<int>"
 
 
 def parity_map(own: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
             if at:
                 yield rows(ids, at, cols)
 
-    return docs.select("doc_id", "t", "text").mapInArrow(make, _PROFILE)
+    return docs.select("doc_id", "t", "text").mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_PROFILE}")
 
 
 def _possible(a: str, b: str, percent: int, positions: bool = True) -> F.Column:
@@ -356,13 +357,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     found = C.cut(connected_components(links))
 
     members = lists.select("gram", "cls", "n", "pos").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = members.groupBy("gram", "component").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    members = members.join(mixed, "gram").join(maps.select("cls", "bits"), "cls")
-    members = members.select("gram", "cls", "component", "main", F.struct("n", "pos", "bits").alias("v"))
-    x = members.where("component <> main").select("gram", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
-    y = members.select(F.col("gram").alias("other"), F.col("cls").alias("b"), F.col("component").alias("cb"), "main", F.col("v").alias("y"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = x.join(y, (F.col("gram") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & _possible("x", "y", percent) & _maps_allow("x", "y", percent))
+    mixed = members.groupBy("gram", "component").agg(F.count("*").alias("held")).groupBy("gram")
+    mixed = mixed.agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.sum("held").alias("held"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("gram", "main", (F.floor(F.col("held") / SALT_ROWS) + 1).cast("int").alias("salts"))
+    members = members.join(mixed, "gram").withColumn("off", F.col("component") != F.col("main")).join(maps.select("cls", "bits"), "cls")
+    members = members.select("gram", "cls", "component", "off", "salts", F.struct("n", "pos", "bits").alias("v"))
+    # the first common n-gram of two linked sets is in the shorter prefix of the one that isn't larger; "off" pairs rows of
+    # the list's largest component with others only
+    short = members.where(F.expr(f"v.pos <= v.n - ({2 * percent} * v.n + {99 + percent}) div {100 + percent}"))
+    x = short.select("gram", "off", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
+    sides = F.explode(F.when(F.col("off"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("off")
+    y = members.select("gram", sides, F.pmod(F.xxhash64("cls"), "salts").cast("int").alias("salt"), F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("v").alias("y"))
+    larger = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("a") < F.col("b")))
+    rest = x.join(y, ["gram", "off", "salt"]).where((F.col("ca") != F.col("cb")) & larger & _possible("x", "y", percent) & _maps_allow("x", "y", percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     more = C.cut(_verified(docs, maps, _pruned(rest, maps, percent), n, percent, order))
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -116,3 +116,9 @@ def test_values_are_linked_and_the_key_counts(spark):
     assert a[5].n_replaced == 4 and len(a[5].text) == len(rows[5][1]) and [x.n_found for x in a] == [2, 2, 0, 0, 0, 4]
     with pytest.raises(ValueError):
         P.pseudonymize(docs, "")
+
+
+def test_helper_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "call +1 202 555 0143 or a@example.org", "mine", "too")], "doc_id long, text string, p string, P_ string")
+    row = P.pseudonymize(docs, "k").collect()[0]
+    assert (row["p"], row["P_"]) == ("mine", "too") and row["n_found"] > 0

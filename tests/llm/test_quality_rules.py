@@ -56,3 +56,9 @@ def test_against_brute_force(spark):
         assert x.score == pytest.approx(s, abs=1e-9)
         assert x.kept == (not (c[0] < 50 or 100 * c[4] > 50 * c[0]) and s >= threshold), (x.doc_id, s, threshold)
     assert {x.kept for x in got} == {True, False}
+
+
+def test_helper_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a", "b", "c")], "doc_id long, text string, ratios string, least string, measured string")
+    row = Q.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()[0]
+    assert (row["ratios"], row["least"], row["measured"]) == ("a", "b", "c") and row["n_words"] == 3
