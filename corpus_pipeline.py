@@ -29,26 +29,33 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least id of each component of near copies, rows without an id last.
 
     Texts are compared whatever their rows' ids, so rows with no id or a shared one are told apart by
-    their texts. Rows without words are copies of nothing and stay; only rows repeated under one id go.
+    their texts (a 128-bit digest of both). Rows without words are copies of nothing and stay; only rows
+    repeated under one id go. Of rows with equal id and text the least by the other columns stays.
     """
-    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    keyed = docs.withColumn("__key", own)
-    found = ngram_jaccard_join(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").dropDuplicates(["__key"])
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
-    rows = keyed.groupBy("doc_id", "__key").agg(F.count("*").alias("times"))
-    first = rows.join(found, "__key").groupBy("component_id").agg(F.min_by(F.struct("__key", "times"), order).alias("o")).select("o.*")
-    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(C.WORD)
+    key, pick = C.fresh(docs, "key"), C.fresh(docs, "pick")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), text).cast("binary")))
+    keyed = docs.withColumn(key, own)
+    found = ngram_jaccard_join(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    rows = keyed.groupBy("doc_id", key).agg(F.count("*").alias("times"))
+    first = C.cut(rows.join(found, key).groupBy("component_id").agg(F.min_by(F.struct(key, "times"), order).alias("o")).select("o.*"))
+    wordless = ~text.rlike(C.WORD)
+    nameless = F.col("doc_id").isNull() & wordless
     # texts are shuffled only where rows are repeated
-    once = keyed.where(~nameless).join(first.where("times = 1").select("__key"), "__key", "left_semi")
-    repeated = keyed.where(~nameless).join(first.where("times > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(repeated).unionByName(keyed.where(nameless)).select(*docs.columns)
+    once = keyed.where(~nameless).join(first.where("times = 1").select(key), key, "left_semi")
+    repeated = keyed.where(~nameless).join(first.where("times > 1").select(key), key, "left_semi")
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("no_text")), {"ignoreNullFields": "false"})
+    repeated = repeated.groupBy(key).agg(F.min_by(F.struct(*docs.columns), others).alias(pick)).select(f"{pick}.*")
+    return once.select(*docs.columns).unionByName(repeated).unionByName(docs.where(nameless))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item; rows without an id or with a shared one are judged by their own text."""
-    text = F.xxhash64("text")
-    found = contaminated(docs.select(text.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
-    return docs.withColumn("__text", text).join(found, "__text", "left_anti").select(*docs.columns)
+    own = C.fresh(docs, "digest")
+    text = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    found = contaminated(docs.select(text.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.withColumn(own, text).join(found, own, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
