@@ -11,28 +11,31 @@ def clamp(value: Column, low, high) -> Column:
     return F.when(value.isNotNull(), F.least(high, F.greatest(low, value)))
 
 
-def round3(value: Column) -> Column:
-    """Rounds the decimal text; round3_exact tells ties of the binary value."""
-    return F.round(value, 3)
-
+def rounded(value: Column, places: int) -> Column:
+    """The double nearest to the binary value rounded to up to 6 places, half to even, as correct rounding gives it.
 
-def round3_exact(value: Column) -> Column:
-    """The double nearest to the binary value rounded to three places, half to even, as correct rounding gives it.
-
-    value * 1000 is split into a product and its error (Dekker), so that ties are told from values
+    value * 10^places is split into a product and its error (Dekker), so that ties are told from values
     just above or below, which decimal text can't do: 2.6755 is less than its text and becomes 2.675.
     """
+    scale = float(10**places)
 
-    def rounded(x):
+    def exact(x):
         high = x * 134217729.0 - (x * 134217729.0 - x)
-        error = (high * 1000.0 - x * 1000.0) + (x - high) * 1000.0
-        floor = F.floor(x * 1000.0).cast("double")
-        above = (x * 1000.0 - (floor + 0.5)) + error
+        error = (high * scale - x * scale) + (x - high) * scale
+        floor = F.floor(x * scale).cast("double")
+        above = (x * scale - (floor + 0.5)) + error
         up = (above > 0) | ((above == 0) & (F.pmod(floor, F.lit(2.0)) == 1))
-        return F.when(F.abs(x) < 1e12, F.when(up, floor + 1).otherwise(floor) / 1000.0).otherwise(F.round(x, 3))
+        # a product that rounds up to a whole number may have its floor one too high
+        low = (x * scale == floor) & (error < 0)
+        near = F.when(low, floor).otherwise(F.when(up, floor + 1).otherwise(floor))
+        return F.when(F.abs(x) < 1e9, near / scale).otherwise(F.round(x, places))
 
     # a lambda, so that the value's expression stands in the plan once however calls are nested
-    return F.get(F.transform(F.array(value.cast("double")), rounded), F.lit(0))
+    return F.get(F.transform(F.array(value.cast("double")), exact), F.lit(0))
+
+
+def round3(value: Column) -> Column:
+    return rounded(value, 3)
 
 
 def strict_number(text: Column, default: float | None) -> Column:
@@ -53,11 +56,15 @@ def tempo_factors(speed: Column) -> Column:
 def source_range(item_type, source_in, source_out, speed, item_start, start, duration) -> Column:
     """Source in and out of a timeline range; ok is false if it leaves the source. Other types have none and are ok."""
     rate = F.coalesce(F.nullif(speed, F.lit(0.0)), F.lit(1.0))
-    first = round3(source_in + (start - item_start) * rate)
-    last = round3(first + duration * rate)
     media = item_type.isin("video", "audio")
-    inside = (first >= source_in) & (last <= source_out) & (last > first)
-    return F.struct(F.when(media & inside, first).alias("source_in"), F.when(media & inside, last).alias("source_out"), (~media | F.coalesce(inside, F.lit(False))).alias("ok"))
+
+    def of(first, last):
+        inside = (first >= source_in) & (last <= source_out) & (last > first)
+        return F.struct(F.when(media & inside, first).alias("source_in"), F.when(media & inside, last).alias("source_out"), (~media | F.coalesce(inside, F.lit(False))).alias("ok"))
+
+    # lambdas, so that each rounded value is computed once
+    both = F.transform(F.array(round3(source_in + (start - item_start) * rate)), lambda first: F.struct(first.alias("first"), round3(first + duration * rate).alias("last")))
+    return F.get(F.transform(both, lambda b: of(b["first"], b["last"])), F.lit(0))
 
 
 def frame_count(duration: Column, fps: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import clamp
+from .numbers import clamp, rounded
 
 #: Neutral, least and most of each adjustment. Fixed values.
 ADJUSTMENTS = {
@@ -43,16 +43,16 @@ def adjusted(preset: Column, users: dict[str, Column], intensity: Column, blend:
             if name in values:
                 shift = F.when(preset == p, F.lit(float(values[name] - neutral))).otherwise(shift)
         user = F.coalesce(users[name], F.lit(float(neutral))) if name in users else F.lit(float(neutral))
-        fields.append(F.round(clamp(user + shift * share, low, high), 6).alias(name))
+        fields.append(rounded(clamp(user + shift * share, low, high), 6).alias(name))
     return F.struct(*fields)
 
 
 def filter_values(a: Column) -> Column:
     """Struct of the five filter values of resolved adjustments."""
     return F.struct(
-        F.round(clamp(a["brightness"] / 100 + a["exposure"] / 240 + a["lift"] / 320, 0.08, 3), 6).alias("brightness"),
-        F.round(clamp(a["contrast"] / 100 + a["gamma"] / 260 + a["gain"] / 420, 0.08, 3), 6).alias("contrast"),
-        F.round(clamp(a["saturation"] / 100 + (a["vibrance"] - 100) / 260 + a["gain"] / 340, 0, 3.5), 6).alias("saturation"),
-        F.round(clamp(a["temperature"] * -0.18 + a["tint"] * 0.22, -45, 45), 6).alias("hue_rotate"),
-        F.round(clamp(F.greatest(F.lit(0.0), a["temperature"]) / 420, 0, 0.28), 6).alias("sepia"),
+        rounded(clamp(a["brightness"] / 100 + a["exposure"] / 240 + a["lift"] / 320, 0.08, 3), 6).alias("brightness"),
+        rounded(clamp(a["contrast"] / 100 + a["gamma"] / 260 + a["gain"] / 420, 0.08, 3), 6).alias("contrast"),
+        rounded(clamp(a["saturation"] / 100 + (a["vibrance"] - 100) / 260 + a["gain"] / 340, 0, 3.5), 6).alias("saturation"),
+        rounded(clamp(a["temperature"] * -0.18 + a["tint"] * 0.22, -45, 45), 6).alias("hue_rotate"),
+        rounded(clamp(F.greatest(F.lit(0.0), a["temperature"]) / 420, 0, 0.28), 6).alias("sepia"),
     )

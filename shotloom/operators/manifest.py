@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round3
+
 #: Item types that a manifest takes. Fixed values.
 MEDIA_TYPES = ("video", "image", "overlay", "audio")
 VISUAL_TYPES = ("video", "image", "overlay")
@@ -69,7 +71,7 @@ def extension(kind: Column) -> Column:
 
 
 def durations(items: DataFrame) -> DataFrame:
-    return items.groupBy("document_id").agg(F.round(F.greatest(F.lit(0.1), F.max(F.col("timeline_start") + F.col("duration"))), 3).alias("duration_seconds"))
+    return items.groupBy("document_id").agg(round3(F.greatest(F.lit(0.1), F.max(F.col("timeline_start") + F.col("duration")))).alias("duration_seconds"))
 
 
 def resolution(value: Column, width: Column, height: Column) -> Column:

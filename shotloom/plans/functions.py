@@ -10,7 +10,7 @@ from ..operators import cache as K
 from ..operators import metrics as M
 from ..operators import routing as R
 from ..sources import adapters as A
-from .register import query
+from .register import exact, query
 
 
 def _read(spark, d, name):
@@ -73,7 +73,7 @@ def point_key(spark, d):
     return _read(spark, d, "supplier").select("s_suppkey", X.point_key(logical).alias("point_key"))
 
 
-@query("sf_clamped", "SELECT event_id, least(100, greatest(5, value)) AS clamped, round(value / 3, 3) AS rounded FROM events")
+@query("sf_clamped", exact("SELECT event_id, least(100, greatest(5, value)) AS clamped, round(value / 3, 3) AS rounded FROM events", 3))
 def clamped(spark, d):
     return _read(spark, d, "events").select("event_id", U.clamp(F.col("value"), 5, 100).alias("clamped"), U.round3(F.col("value") / 3).alias("rounded"))
 

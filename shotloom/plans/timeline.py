@@ -12,7 +12,7 @@ from ..operators import intervals as V
 from ..operators import manifest as M
 from ..operators import timeline as P
 from ..sources import adapters as A
-from .register import query
+from .register import exact, query
 
 _ITEMS = f"WITH i AS ({A.ITEMS})"
 _USED = _ITEMS + ", u AS (SELECT * FROM i WHERE NOT hidden AND NOT (track_kind = 'audio' AND muted) AND NOT (item_type = 'audio' AND item_muted))"
@@ -46,7 +46,7 @@ def ownership(spark, d):
     return M.audio_items(_items(spark, d)).select("document_id", "item_id", "source_owner", "timeline_start", "track_index")
 
 
-@query("ag_manifest_duration", _USED + " SELECT document_id, round(greatest(0.1, max(timeline_start + duration)), 3) AS duration_seconds FROM u GROUP BY document_id")
+@query("ag_manifest_duration", exact(_USED + " SELECT document_id, round(greatest(0.1, max(timeline_start + duration)), 3) AS duration_seconds FROM u GROUP BY document_id", 3))
 def manifest_duration(spark, d):
     return M.durations(M.usable_items(_items(spark, d)))
 
@@ -91,7 +91,7 @@ def opacity(spark, d):
     return _items(spark, d).select("item_id", F.round(N.faded_opacity(1 - c("opacity_drop"), c("duration") * 0.9, c("duration"), c("fade_in"), c("fade_out")), 9).alias("opacity"))
 
 
-@query("sf_source_range", _ITEMS + """ SELECT item_id, CASE WHEN ok AND media THEN a END AS source_in, CASE WHEN ok AND media THEN b END AS source_out, ok OR NOT media AS ok FROM (SELECT *, a >= source_in AND b <= source_out AND b > a AS ok FROM (SELECT *, round(a + 1.0 * speed, 3) AS b FROM (SELECT *, item_type IN ('video', 'audio') AS media, round(source_in + 0.5 * speed, 3) AS a FROM i)))""")
+@query("sf_source_range", exact(_ITEMS + """ SELECT item_id, CASE WHEN ok AND media THEN a END AS source_in, CASE WHEN ok AND media THEN b END AS source_out, ok OR NOT media AS ok FROM (SELECT *, a >= source_in AND b <= source_out AND b > a AS ok FROM (SELECT *, round(a + 1.0 * speed, 3) AS b FROM (SELECT *, item_type IN ('video', 'audio') AS media, round(source_in + 0.5 * speed, 3) AS a FROM i)))""", 3))
 def source_range(spark, d):
     c = F.col
     r = U.source_range(c("item_type"), c("source_in"), c("source_out"), c("speed"), c("timeline_start"), c("timeline_start") + 0.5, F.lit(1.0))
@@ -133,8 +133,8 @@ def selection_order(spark, d):
     return chosen.select("document_id", F.posexplode("ids").alias("pos", "item_id")).join(items.where(~F.col("hidden")).select("document_id", "item_id").distinct(), ["document_id", "item_id"]).select("document_id", "pos", "item_id")
 
 
-@query("sf_style_values", f"""SELECT p_partkey, round(least(200, greatest(0, 100 + (p_size - 25) + (118 - 100) * share)), 6) AS contrast, round(least(100, greatest(-100, p_size + (-6) * share)), 6) AS temperature, round(least(100, greatest(-100, 8 * share)), 6) AS gamma, round(least(100, greatest(-100, 4 * share)), 6) AS gain,
- round(least(3, greatest(0.08, round(least(200, greatest(0, 100 + (p_size - 25) + (118 - 100) * share)), 6) / 100 + round(8 * share, 6) / 260 + round(4 * share, 6) / 420)), 6) AS filter_contrast FROM (SELECT *, (least(100, p_retailprice / 20) / 100) * 0.8 AS share FROM part)""")
+@query("sf_style_values", exact(f"""SELECT p_partkey, round(least(200, greatest(0, 100 + (p_size - 25) + (118 - 100) * share)), 6) AS contrast, round(least(100, greatest(-100, p_size + (-6) * share)), 6) AS temperature, round(least(100, greatest(-100, 8 * share)), 6) AS gamma, round(least(100, greatest(-100, 4 * share)), 6) AS gain,
+ round(least(3, greatest(0.08, round(least(200, greatest(0, 100 + (p_size - 25) + (118 - 100) * share)), 6) / 100 + round(8 * share, 6) / 260 + round(4 * share, 6) / 420)), 6) AS filter_contrast FROM (SELECT *, (least(100, p_retailprice / 20) / 100) * 0.8 AS share FROM part)""", 6))
 def style_values(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet")
     a = Y.adjusted(F.lit("Cinematic"), {"contrast": F.col("p_size") + 75.0, "temperature": F.col("p_size") + 0.0}, F.col("p_retailprice") / 20, F.lit(80.0))
@@ -209,7 +209,7 @@ def _planned_sql() -> str:
   CASE WHEN reason IS NULL AND form = 'volume' THEN round(a / 100, 3) WHEN reason IS NULL AND form = 'speed' THEN round(a, 3) END AS value, reason FROM k"""
 
 
-@query("pl_planned_commands", _planned_sql())
+@query("pl_planned_commands", exact(_planned_sql(), 3))
 def planned_commands(spark, d):
     """Every command on every document's timeline."""
     items = _items(spark, d)

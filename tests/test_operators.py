@@ -88,7 +88,7 @@ def test_text_functions(spark):
     import uuid
 
     assert value(text.point_key(F.lit("x:1"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "shotloom:point:x:1"))
-    assert value(numbers.round3_exact(F.lit(2.0005))) == 2.001
+    assert value(numbers.round3(F.lit(2.0005))) == 2.001
 
 
 def test_codec_states():
