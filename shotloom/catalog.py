@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import functions, graph, ingest, more, register, retrieval, stores, timeline  # noqa: F401  (each registers its queries)
+from .plans import functions, graph, ingest, more, ordered, register, retrieval, stores, timeline  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

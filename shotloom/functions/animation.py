@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 SMALLEST = 2.0**-52
 
 
+def between(left: Column, right: Column, time: Column) -> Column:
+    """Value between two keyframes: the right one's easing bends the progress with its second and fourth number."""
+    p = (time - left["time"]) / F.greatest(F.lit(SMALLEST), right["time"] - left["time"])
+    e = right["easing"]
+    eased = 3 * (1 - p) * (1 - p) * p * F.get(e, F.lit(1)) + 3 * (1 - p) * p * p * F.get(e, F.lit(3)) + p * p * p
+    progress = F.when(e.isNotNull(), eased).otherwise(p)
+    return left["value"] + (right["value"] - left["value"]) * progress
+
+
 def evaluate(track: Column, time: Column, fallback: Column) -> Column:
     """Value of a track (array of time, value, easing) at a time.
 
-    Held before the first and after the last keyframe; between, the right keyframe's easing bends
-    the progress with its second and fourth number. An empty or null track gives the fallback.
+    Held before the first and after the last keyframe. An empty or null track gives the fallback.
     """
     own = F.array_sort(track, lambda a, b: F.when(a["time"] < b["time"], -1).when(a["time"] > b["time"], 1).otherwise(0))
     first, last = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(-1))
     left = F.try_element_at(F.filter(own, lambda k: k["time"] < time), F.lit(-1))
     right = F.try_element_at(F.filter(own, lambda k: k["time"] >= time), F.lit(1))
-    p = (time - left["time"]) / F.greatest(F.lit(SMALLEST), right["time"] - left["time"])
-    e = right["easing"]
-    eased = 3 * (1 - p) * (1 - p) * p * F.get(e, F.lit(1)) + 3 * (1 - p) * p * p * F.get(e, F.lit(3)) + p * p * p
-    progress = F.when(e.isNotNull(), eased).otherwise(p)
-    between = left["value"] + (right["value"] - left["value"]) * progress
-    return F.when(F.coalesce(F.size(track), F.lit(0)) <= 0, fallback).when(time <= first["time"], first["value"]).when(time >= last["time"], last["value"]).otherwise(between)
+    return F.when(F.coalesce(F.size(track), F.lit(0)) <= 0, fallback).when(time <= first["time"], first["value"]).when(time >= last["time"], last["value"]).otherwise(between(left, right, time))
 
 
 def faded_opacity(base: Column, time: Column, duration: Column, fade_in: Column, fade_out: Column) -> Column:

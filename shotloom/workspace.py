@@ -23,3 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shotloom-{name}/{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """Writes df to a new folder of the shared one and reads it back, so a lost executor never means computing it again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
