@@ -13,7 +13,6 @@ on earlier entries aren't read for these buckets.
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -21,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commit_log import CommitLog
+
 
 @dataclass
 class Entry:
@@ -39,22 +40,16 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+        self.log = CommitLog(spark, f"{path}/log")
         self.empty = spark.createDataFrame([], schema)
         if any(c.lower().startswith("kt_") for c in self.empty.columns):
             raise ValueError("names that begin with kt_ are the table's own")
 
     # ------------------------------------------------------------ the log
 
-    def _fs(self, path: str):
-        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), own
-
     def entries(self) -> list[Entry]:
         """All log entries in order, with the buckets for which each still counts."""
-        fs, log = self._fs(f"{self.path}/log")
-        if not fs.exists(log):
-            return []
-        found = sorted((Entry(**json.loads(r[0])) for r in self.spark.read.text(f"{self.path}/log", wholetext=True).collect()), key=lambda e: e.version)
+        found = [Entry(**e) for e in self.log.entries()]
         merged: dict[int, tuple[int, int]] = {}
         for e in found:
             if e.kind == "base":
@@ -68,20 +63,7 @@ class KeyedTable:
         return found
 
     def _commit(self, id_: str, kind: str, buckets: list[int], upto: int = 0, batch: str | None = None) -> int:
-        version = max((e.version for e in self.entries()), default=0)
-        while True:
-            version += 1
-            fs, to = self._fs(f"{self.path}/log/{version:020d}")
-            line = json.dumps({"version": version, "id": id_, "kind": kind, "upto": upto, "buckets": buckets, "batch": batch})
-            try:
-                out = fs.create(to, False)  # fails if the number is taken
-            except Exception:
-                if not fs.exists(to):
-                    raise
-                continue
-            out.write(bytearray(line.encode()))
-            out.close()
-            return version
+        return self.log.append({"id": id_, "kind": kind, "upto": upto, "buckets": buckets, "batch": batch})
 
     # ------------------------------------------------------------ writing
 
@@ -95,7 +77,7 @@ class KeyedTable:
     def _buckets_in(self, *paths: str) -> list[int]:
         found = set()
         for p in paths:
-            fs, own = self._fs(p)
+            fs, own = self.log.files(p)
             if fs.exists(own):
                 found |= {int(s.getPath().getName().removeprefix("kt_bucket=")) for s in fs.listStatus(own) if s.getPath().getName().startswith("kt_bucket=")}
         return sorted(found)
@@ -174,7 +156,7 @@ class KeyedTable:
     def vacuum(self, older_seconds: float = 86_400) -> int:
         """Removes files that no live bucket needs and that are old enough for no reader or writer to be at them; returns how many writes went."""
         needed, removed = {e.id for e in self.entries() if e.live}, 0
-        fs, data = self._fs(f"{self.path}/data")
+        fs, data = self.log.files(f"{self.path}/data")
         for s in fs.listStatus(data) if fs.exists(data) else []:
             if s.getPath().getName() not in needed and time.time() - s.getModificationTime() / 1000 >= older_seconds:
                 fs.delete(s.getPath(), True)

@@ -54,7 +54,7 @@ def test_a_batch_is_applied_once_and_writers_never_share_a_version(spark, tmp_pa
     new = spark.createDataFrame([(1, "a")], SCHEMA)
     assert t.replace(new, batch="b1") == t.replace(new, batch="b1") == 1
     stale = K.KeyedTable(spark, t.path, SCHEMA, "k", 4)
-    stale.entries = lambda: []  # a writer that hasn't seen the first version
+    stale.log.entries = lambda: []  # a writer that hasn't seen the first version
     assert stale._commit("x" * 32, "delta", []) == 2
     assert [e.version for e in t.entries()] == [1, 2] and rows(t.content()) == [(1, "a")]
 
