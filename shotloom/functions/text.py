@@ -90,3 +90,13 @@ def colour(text: Column) -> Column:
     full = F.when(short.rlike(r"\A#(?:[0-9a-f]{6}|[0-9a-f]{8})\z"), F.rpad(short, 9, "f")).otherwise("#ffffffff")
     part = lambda i: F.conv(F.substring(full, i, 2), 16, 10).cast("int")
     return F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"), part(8).alias("a"))
+
+
+def iso_utc(time: Column) -> Column:
+    """ISO text with a Z, to the second."""
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def parsed_iso(text: Column) -> Column:
+    """The instant of ISO text with Z or an offset; null for text without one or that is no date."""
+    return F.when(text.rlike(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?(?:Z|[+-]\d\d:\d\d)\z"), text.try_cast("timestamp"))

@@ -70,9 +70,23 @@ def frame_rate(text: Column) -> Column:
 PROBE = "streams ARRAY<STRUCT<codec_type: STRING, codec_name: STRING, width: BIGINT, height: BIGINT, r_frame_rate: STRING, sample_rate: STRING, channels: BIGINT>>, format STRUCT<duration: STRING>"
 
 
+def first_stream(streams: Column) -> Column:
+    """The first video stream, else the first audio stream; null without either."""
+    of = lambda kind: F.try_element_at(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(1))
+    return F.coalesce(of("video"), of("audio"))
+
+
+def has_audio(streams: Column) -> Column:
+    return F.coalesce(F.exists(streams, lambda s: s["codec_type"] == "audio"), F.lit(False))
+
+
+def indexed_counts(points: DataFrame, modalities: tuple[str, ...]) -> DataFrame:
+    """(media_id, a count for each modality); 0 where there is none."""
+    return points.groupBy("media_id").agg(*(F.count_if(F.col("modality") == m).alias(m) for m in modalities))
+
+
 def probe_metadata(json: Column) -> Column:
     """First video stream, else first audio stream, with duration, frame rate and whether there is sound."""
     p = F.from_json(json, PROBE)
-    of = lambda kind: F.try_element_at(F.filter(p["streams"], lambda s: s["codec_type"] == kind), F.lit(1))
-    s = F.coalesce(of("video"), of("audio"))
-    return F.struct(p["format"]["duration"].try_cast("double").alias("duration_seconds"), s["codec_name"].alias("codec"), s["width"].alias("width"), s["height"].alias("height"), frame_rate(s["r_frame_rate"]).alias("frame_rate"), F.coalesce(F.exists(p["streams"], lambda x: x["codec_type"] == "audio"), F.lit(False)).alias("has_audio"))
+    s = first_stream(p["streams"])
+    return F.struct(p["format"]["duration"].try_cast("double").alias("duration_seconds"), s["codec_name"].alias("codec"), s["width"].alias("width"), s["height"].alias("height"), frame_rate(s["r_frame_rate"]).alias("frame_rate"), has_audio(p["streams"]).alias("has_audio"))

@@ -70,6 +70,22 @@ def extension(kind: Column) -> Column:
     return F.when(own == "image", ".png").when(own == "audio", ".wav").otherwise(".mp4")
 
 
+def in_audio_order(audio: DataFrame) -> DataFrame:
+    """audio items with their place from 1: by start, then by track, id and place in the track."""
+    own = Window.partitionBy("document_id").orderBy("timeline_start", "track_index", "item_id", "item_index")
+    return audio.withColumn("pos", F.row_number().over(own).cast("long"))
+
+
+def numbered_items(tracks: DataFrame) -> DataFrame:
+    """(document_id, track_id, item_index, item) of tracks with an array of items, numbered by their place."""
+    return tracks.select("document_id", "track_id", F.posexplode("items").alias("item_index", "item"))
+
+
+def audio_seconds(item_duration: Column, source_in: Column, source_out: Column, speed: Column) -> Column:
+    """What an item plays: its duration, or less if its source ends before, at least a millisecond."""
+    return F.least(item_duration, F.greatest(F.lit(0.001), (source_out - source_in) / speed))
+
+
 def durations(items: DataFrame) -> DataFrame:
     return items.groupBy("document_id").agg(round3(F.greatest(F.lit(0.1), F.max(F.col("timeline_start") + F.col("duration")))).alias("duration_seconds"))
 

@@ -84,6 +84,31 @@ def search(points: DataFrame, query: list[float], media_ids: list[str], top_k: i
     return with_neighbours(top, edges) if edges is not None else top
 
 
+def searched(modalities: Column) -> Column:
+    """The requested modalities that can be searched, each once, in the fixed order."""
+    return F.array_intersect(F.array(*(F.lit(m) for m in MODALITIES)), modalities)
+
+
+def unsupported(modalities: Column) -> Column:
+    return F.array_except(modalities, F.array(*(F.lit(m) for m in MODALITIES)))
+
+
+def short_circuit(n_media: Column, query: Column, modalities: Column) -> Column:
+    """Why a request needs no search: no media, then a blank query, then no searchable modality; null if it needs one."""
+    return F.when(n_media == 0, "no media").when(F.trim(query) == "", "blank query").when(F.size(searched(modalities)) == 0, "no searchable modality")
+
+
+def complete(n_media: Column, query: Column, modalities: Column) -> Column:
+    """Whether a request's result can be whole: it is searched, and every modality it asks for is."""
+    return short_circuit(n_media, query, modalities).isNull() & (F.size(unsupported(modalities)) == 0)
+
+
+def modality_counts(points: DataFrame, modalities=MODALITIES) -> DataFrame:
+    """(modality, n) of the union of the modalities' lists, in one scan; 0 for a modality without points."""
+    sums = points.agg(*(F.count_if(F.col("modality") == m).alias(m) for m in modalities))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(m).alias("modality"), F.col(m).alias("n")) for m in modalities))))
+
+
 def search_warnings(requested: list[str], media_ids: list[str], missing_collections: list[str] = ()) -> list[str]:
     """Warnings in order, each once."""
     found = [f"unsupported modality: {m}" for m in requested if m not in MODALITIES]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import merged_maps
 from ..schemas import REQUEST_KEYS
 
 #: Attempts, delays in seconds, and kinds of a request. Fixed values.
@@ -48,9 +49,9 @@ def started_events(messages: DataFrame) -> DataFrame:
 
 
 def stamped_headers(headers: Column, attempt: Column, error: Column) -> Column:
-    """Retry headers win over those present; the first error stays. Needs LAST_WIN maps."""
+    """Retry headers win over those present; the first error stays."""
     first = F.create_map(F.lit("x-first-error"), error)
-    return F.map_concat(first, F.coalesce(headers, F.create_map().cast("map<string,string>")), F.create_map(F.lit("x-attempt"), attempt.cast("string"), F.lit("x-last-error"), error))
+    return merged_maps(first, F.coalesce(headers, F.create_map().cast("map<string,string>")), F.create_map(F.lit("x-attempt"), attempt.cast("string"), F.lit("x-last-error"), error))
 
 
 def breaker_states(calls: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def compatible(item_type: Column, kind: Column) -> Column:
     return kind.isNull() | (item_type == kind)
 
 
+def ordinals(items: DataFrame, *by: str, name: str = "ordinal") -> DataFrame:
+    """items numbered from 1 in timeline order within by."""
+    own = Window.partitionBy(*by).orderBy("track_index", "item_index", "item_id")
+    return items.withColumn(name, F.row_number().over(own).cast("long"))
+
+
+def selected_items(selections: DataFrame, items: DataFrame) -> DataFrame:
+    """(document_id, pos, item_id) of the selected ids (document_id, ids) that items has, each at its place in the selection."""
+    known = items.select("document_id", "item_id").distinct()
+    return selections.select("document_id", F.posexplode("ids").alias("pos", "item_id")).join(known, ["document_id", "item_id"], "left_semi").select("document_id", "pos", "item_id")
+
+
 def targets(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """(command_id, matches, item): the number of matching items and the one item if it is one.
 
@@ -81,8 +93,8 @@ def targets(parsed: DataFrame, items: DataFrame) -> DataFrame:
 
     place = F.struct("track_index", "item_index", "item_id")
     item = F.struct("item_id", "item_type", "timeline_start", "duration", "source_in", "source_out", "speed")
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("track_index", "item_index", "item_id")).cast("string")
-    known = items.withColumns({"nth": nth("document_id"), "nth_of_type": nth("document_id", "item_type")})
+    known = ordinals(ordinals(items, "document_id", name="nth"), "document_id", "item_type", name="nth_of_type")
+    known = known.withColumns({c: F.col(c).cast("string") for c in ("nth", "nth_of_type")})
     names = F.array(F.concat(F.lit("text "), F.lower("item_id")), F.concat(F.lit("id "), "item_id"), F.concat(F.lit("nth  "), "nth"), F.concat(F.lit("nth "), "item_type", F.lit(" "), "nth_of_type"))
     known = known.select("document_id", place.alias("place"), item.alias("item"), F.explode(names).alias("key"))
     whole = keys.join(known, ["document_id", "key"]).select("command_id", "kind", "stage", "place", "item")

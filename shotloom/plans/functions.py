@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as Y
+from ..functions import layout as L
 from ..functions import numbers as U
 from ..functions import text as X
 from ..operators import cache as K
 from ..operators import metrics as M
 from ..operators import routing as R
 from ..sources import adapters as A
+from ..sources import files as S
+from ..workspace import new_path
 from .register import exact, query
 
 
@@ -29,7 +33,7 @@ def cache_key(spark, d):
 
 @query("sf_shot_id", "SELECT event_id, event_type || ':shot:' || lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0') AS shot_id FROM events")
 def shot_id(spark, d):
-    return _read(spark, d, "events").select("event_id", F.format_string("%s:shot:%06d", "event_type", F.col("event_id") % 1000000).alias("shot_id"))
+    return _read(spark, d, "events").select("event_id", X.padded_id(F.concat("event_type", F.lit(":shot")), F.col("event_id") % 1000000, 6).alias("shot_id"))
 
 
 @query("sf_collapse_space", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
@@ -100,10 +104,33 @@ def letterbox(spark, d):
     return _read(spark, d, "part").select("p_partkey", F.round(b["scale"], 9).alias("scale"), F.round(b["offset_x"], 6).alias("offset_x"), F.round(b["offset_y"], 6).alias("offset_y"), U.keeps_aspect(F.lit(1920), F.lit(1080), w, F.lit(900)).alias("aspect"))
 
 
-@query("ag_text_groups", "SELECT sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text_hash, min(doc_id) AS first_pos, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS positions FROM documents WHERE trim(text) <> '' GROUP BY sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))")
+_CANONICAL = "sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))"
+
+
+@query("ag_text_groups", f"SELECT doc_id AS pos, h AS text_hash, min(doc_id) OVER (PARTITION BY h) AS first_pos, count(*) OVER (PARTITION BY h) AS n FROM (SELECT doc_id, {_CANONICAL} AS h FROM documents WHERE trim(text) <> '')")
 def text_groups(spark, d):
-    rows = K.text_groups(_read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text"))
-    return rows.select("text_hash", "first_pos", "n", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    """Every position with the group of its text: each text is grouped once, and the groups go back to the positions."""
+    texts = _read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return K.expand(texts, K.distinct_texts(texts)).select("pos", "text_hash", "first_pos", "n")
+
+
+_CLASSES = "CASE WHEN c = ' ' THEN 4 WHEN c IN ('i', 'l', '.', ',') THEN 3 WHEN c IN ('m', 'w', 'M', 'W') THEN 11 ELSE 7 END"
+
+
+@query("sf_wrapped_text", f"""WITH RECURSIVE w AS (SELECT p_partkey, str_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS words FROM part), m AS (SELECT *, list_transform(words, lambda x: list_sum(list_transform(str_split(x, ''), lambda c: {_CLASSES}))) AS size FROM w),
+f(p_partkey, words, size, i, line, used, done) AS (SELECT p_partkey, words, size, 1, words[1], size[1], CAST([] AS VARCHAR[]) FROM m UNION ALL
+ SELECT p_partkey, words, size, i + 1, CASE WHEN used + 4 + size[i + 1] <= 100 THEN line || ' ' || words[i + 1] ELSE words[i + 1] END, CASE WHEN used + 4 + size[i + 1] <= 100 THEN used + 4 + size[i + 1] ELSE size[i + 1] END, CASE WHEN used + 4 + size[i + 1] <= 100 THEN done ELSE list_append(done, line) END FROM f WHERE i < len(words))
+SELECT p_partkey, array_to_string(list_append(done, line), '|') AS lines FROM f WHERE i = len(words)""")
+def wrapped_text(spark, d):
+    advances = F.create_map(*(F.lit(x) for chars, w in ((" ", 4.0), ("il.,", 3.0), ("mwMW", 11.0)) for c in chars for x in (c, w)))
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return _read(spark, d, "part").select("p_partkey", F.array_join(L.wrapped(text, advances, 100.0, 7.0), "|").alias("lines"))
+
+
+@query("sk_exposition", """SELECT 'requests_total{{kind="' || event_type || '"}} ' || count(*) AS line FROM events GROUP BY event_type UNION ALL SELECT '# HELP requests_total requests by kind' UNION ALL SELECT '# TYPE requests_total counter'""")
+def exposition(spark, d):
+    samples = M.counters(_read(spark, d, "events").select(F.col("event_type").alias("kind")), "kind")
+    return M.exposition("requests", "counter", samples, "requests by kind").select("line")
 
 
 @query("jn_expanded_results", "SELECT doc_id AS pos, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text_hash, min(doc_id) OVER (PARTITION BY sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))) AS encoded_at FROM documents WHERE trim(text) <> ''")
@@ -230,19 +257,19 @@ def health(spark, d):
 @query("ag_distinct_first", "SELECT l_suppkey, array_to_string(list(l_partkey ORDER BY f), ',') AS parts FROM (SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL) GROUP BY l_suppkey".replace("ORDER BY f", "ORDER BY f, l_partkey"))
 def distinct_first(spark, d):
     """Distinct parts of a supplier in the order of their first row."""
-    rows = _read(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"))
-    return rows.groupBy("l_suppkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+    found = Y.distinct_in_order(_read(spark, d, "lineitem"), "l_suppkey", "l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return found.select("l_suppkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("parts"))
 
 
 @query("ag_sorted_distinct", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT lower(o_orderpriority))), ',') AS ids FROM orders GROUP BY o_custkey")
 def sorted_distinct(spark, d):
-    return _read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("o_orderpriority")))), ",").alias("ids"))
+    return _read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(Y.sorted_distinct(F.col("o_orderpriority")), ",").alias("ids"))
 
 
 @query("jn_positional_zip", "SELECT vec_id, len(embedding) = 64 AS matched, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), range(64)), lambda x: x[1] * x[2])), 6) AS dot FROM embeddings")
 def positional(spark, d):
-    pairs = F.arrays_zip(F.col("embedding").cast("array<double>").alias("v"), F.sequence(F.lit(0), F.lit(63)).alias("i"))
-    return _read(spark, d, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("matched"), F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["v"] * x["i"]), 6).alias("dot"))
+    pairs = Y.zipped(F.col("embedding").cast("array<double>"), F.sequence(F.lit(0), F.lit(63)))
+    return _read(spark, d, "embeddings").select("vec_id", pairs.isNotNull().alias("matched"), F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["a"] * x["b"]), 6).alias("dot"))
 
 
 @query("sf_map_merge", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'kept' ELSE 'e' || CAST(event_id % 5 AS VARCHAR) END AS first_error, CAST(event_id % 3 AS VARCHAR) AS attempt FROM events")
@@ -250,36 +277,25 @@ def map_merge(spark, d):
     """Retry headers: setdefault of the first error, later keys win."""
     error = F.concat(F.lit("e"), (F.col("event_id") % 5).cast("string"))
     headers = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("x-first-error"), F.lit("kept"), F.lit("x-attempt"), F.lit("9"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
-    merged = _last_wins(F.create_map(F.lit("x-first-error"), error), headers, F.create_map(F.lit("x-attempt"), (F.col("event_id") % 3).cast("string")))
+    merged = R.stamped_headers(headers, F.col("event_id") % 3, error)
     return _read(spark, d, "events").select("event_id", F.try_element_at(merged, F.lit("x-first-error")).alias("first_error"), F.try_element_at(merged, F.lit("x-attempt")).alias("attempt"))
 
 
-def _last_wins(*maps):
-    """Merges maps without depending on the session's policy for repeated keys."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(_without(out, m), m)
-    return out
-
-
-def _without(a, b):
-    return F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
-
-
 @query("sc_font_catalog", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'fonts/inter-' WHEN 1 THEN 'fonts/mono-' ELSE 'fonts/inter-' END || CASE WHEN p_size % 2 = 0 THEN 'bold.ttf' ELSE 'regular.ttf' END AS file FROM part")
 def fonts(spark, d):
     """Family and weight, with the default family as the fallback."""
-    catalog = spark.createDataFrame([("Inter", "bold", "fonts/inter-bold.ttf"), ("Inter", "regular", "fonts/inter-regular.ttf"), ("Mono", "bold", "fonts/mono-bold.ttf"), ("Mono", "regular", "fonts/mono-regular.ttf")], "family string, weight string, file string")
+    path = new_path(spark, "fonts")
+    spark.createDataFrame([(f, w, f"fonts/{f.lower()}-{w}.ttf") for f in ("Inter", "Mono") for w in ("bold", "regular")], "family string, weight string, file string").write.json(path)
     k = F.col("p_size") % 3
     rows = _read(spark, d, "part").select("p_partkey", F.when(k == 0, "Inter").when(k == 1, "Mono").otherwise("Comic").alias("family"), F.when(F.col("p_size") % 2 == 0, "bold").otherwise("regular").alias("weight"))
-    default = catalog.where("family = 'Inter'").select("weight", F.col("file").alias("fallback"))
-    return rows.join(F.broadcast(catalog), ["family", "weight"], "left").join(F.broadcast(default), "weight").select("p_partkey", F.coalesce("file", "fallback").alias("file"))  # fixed catalogs
+    return S.font_files(rows, S.font_catalog(spark, path), "Inter").select("p_partkey", "file")
 
 
 @query("sc_object_exists", "SELECT p_partkey, p_partkey % 100 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1) AS found FROM part")
 def exists(spark, d):
-    listing = _read(spark, d, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("k"), F.lit(True).alias("found"))
-    return _read(spark, d, "part").withColumn("k", F.col("p_partkey") % 100).join(listing, "k", "left").select("p_partkey", F.coalesce("found", F.lit(False)).alias("found"))
+    listing = _read(spark, d, "supplier").where("s_suppkey % 2 = 1").select(F.concat(F.lit("objects/"), "s_suppkey").alias("path"))
+    keys = _read(spark, d, "part").select("p_partkey", F.concat(F.lit("objects/"), F.col("p_partkey") % 100).alias("path"))
+    return S.exists(keys, listing).select("p_partkey", "found")
 
 
 @query("st_started_events", f"SELECT event_id, 'started' AS event, attempt FROM ({_ROUTED}) WHERE error IS NULL")
@@ -298,4 +314,4 @@ def colours(spark, d):
 @query("sf_shot_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS occurred_at FROM events")
 def timestamps(spark, d):
     """Times as ISO text with a Z."""
-    return _read(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("occurred_at"))
+    return _read(spark, d, "events").select("event_id", X.iso_utc(F.col("ts")).alias("occurred_at"))

@@ -83,7 +83,7 @@ def payloads(spark, d):
 
 @query("ag_indexed_counts", f"SELECT media_id, count(*) FILTER (modality = 'transcript') AS transcript, count(*) FILTER (modality = 'ocr') AS ocr FROM ({A.POINTS}) GROUP BY media_id")
 def indexed_counts(spark, d):
-    return A.load(spark, d, A.POINTS).groupBy("media_id").pivot("modality", ["transcript", "ocr"]).count().na.fill(0)
+    return I.indexed_counts(A.load(spark, d, A.POINTS), ("transcript", "ocr"))
 
 
 _PROBE = """(SELECT p_partkey AS id, CASE p_partkey % 4

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as U
+from ..operators import ingest as I
 from ..operators import manifest as M
+from ..operators import retrieval as R
 from ..operators import upgrade as G
 from ..sources import adapters as A
 from .register import query
@@ -68,22 +70,20 @@ def stale_points(spark, d):
 def item_index(spark, d):
     """Items nested in their track and numbered again by their place."""
     nested = A.load(spark, d, A.ITEMS).groupBy("document_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("item_index", "item_id"))).alias("items"))
-    flat = nested.select("document_id", "track_id", F.posexplode("items").alias("place", "item"))
-    return flat.groupBy("document_id", "track_id").agg((F.max("item.item_index") + 1).alias("items"), F.count_distinct("place").alias("places"))
+    flat = M.numbered_items(nested)
+    return flat.groupBy("document_id", "track_id").agg((F.max("item.item_index") + 1).alias("items"), F.count_distinct("item_index").alias("places"))
 
 
 @query("se_modality_union", f"SELECT 'transcript' AS modality, count(*) AS n FROM ({A.POINTS}) WHERE modality = 'transcript' UNION ALL SELECT 'ocr', count(*) FROM ({A.POINTS}) WHERE modality = 'ocr'")
 def modality_union(spark, d):
     points = A.load(spark, d, A.POINTS)
-    parts = [points.where(F.col("modality") == m).select(F.lit(m).alias("modality")) for m in ("transcript", "ocr")]
-    return parts[0].unionByName(parts[1]).groupBy("modality").agg(F.count("*").alias("n"))
+    return R.modality_counts(points)
 
 
 @query("fl_streams", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'a' END AS first_stream, p_partkey % 3 = 1 AS has_audio FROM part")
 def streams(spark, d):
     """The first video stream, else the first audio stream; whether there is sound."""
     k = F.col("p_partkey") % 3
-    one = lambda t, n: F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"))
+    one = lambda t, n: F.struct(F.lit(t).alias("codec_type"), F.lit(n).alias("name"))
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(k == 0, F.array(one("data", "d"), one("video", "v"))).when(k == 1, F.array(one("audio", "a"), one("audio", "b"))).otherwise(F.array(one("data", "d"))).alias("s"))
-    first = lambda t: F.try_element_at(F.filter("s", lambda x: x["type"] == t), F.lit(1))["name"]
-    return rows.select("p_partkey", F.coalesce(first("video"), first("audio")).alias("first_stream"), F.exists("s", lambda x: x["type"] == "audio").alias("has_audio"))
+    return rows.select("p_partkey", I.first_stream(F.col("s"))["name"].alias("first_stream"), I.has_audio(F.col("s")).alias("has_audio"))

@@ -85,21 +85,25 @@ def snippets(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", R.snippet(F.col("text")).alias("snippet"))
 
 
-_REQUESTS = "(VALUES (1, ['ocr', 'transcript', 'ocr'], 3), (2, ['visual'], 2), (3, ['audio', 'ocr'], 0), (4, CAST([] AS VARCHAR[]), 1)) v(request_id, modalities, n_media)"
+_KINDS = (["ocr", "transcript", "ocr"], ["visual"], ["audio", "ocr"], [], ["transcript"])
+_LISTS = "[" + ", ".join("CAST([" + ", ".join(f"'{m}'" for m in k) + "] AS VARCHAR[])" for k in _KINDS) + "]"
+#: A request for each part: its modalities, its number of media and its query.
+_REQUESTS = f"(SELECT p_partkey AS request_id, {_LISTS}[p_partkey % 5 + 1] AS modalities, p_size % 4 AS n_media, CASE WHEN p_size % 7 = 0 THEN '  ' ELSE p_name END AS query FROM part)"
 
 
-def _requests(spark):
-    return spark.createDataFrame([(1, ["ocr", "transcript", "ocr"], 3), (2, ["visual"], 2), (3, ["audio", "ocr"], 0), (4, [], 1)], "request_id int, modalities array<string>, n_media int")
+def _requests(spark, d):
+    lists = F.array(*(F.array(*(F.lit(m) for m in k)).cast("array<string>") for k in _KINDS))
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    return rows.select(F.col("p_partkey").alias("request_id"), F.get(lists, (F.col("p_partkey") % 5).cast("int")).alias("modalities"), (F.col("p_size") % 4).alias("n_media"), F.when(F.col("p_size") % 7 == 0, "  ").otherwise(F.col("p_name")).alias("query"))
 
 
 @query("vs_modality_resolution", f"SELECT request_id, array_to_string(list_filter(['transcript', 'ocr'], lambda x: list_contains(modalities, x)), ',') AS searched, len(list_filter(list_distinct(modalities), lambda x: NOT list_contains(['transcript', 'ocr'], x))) AS unsupported FROM {_REQUESTS}")
 def modality_resolution(spark, d):
-    known = F.array(*(F.lit(m) for m in R.MODALITIES))
-    return _requests(spark).select("request_id", F.array_join(F.array_intersect(known, "modalities"), ",").alias("searched"), F.size(F.array_except("modalities", known)).cast("long").alias("unsupported"))
+    m = F.col("modalities")
+    return _requests(spark, d).select("request_id", F.array_join(R.searched(m), ",").alias("searched"), F.size(R.unsupported(m)).cast("long").alias("unsupported"))
 
 
-@query("vs_completeness", f"SELECT request_id, CASE WHEN n_media = 0 THEN 'no media' WHEN len(list_filter(['transcript', 'ocr'], lambda x: list_contains(modalities, x))) = 0 THEN 'no searchable modality' END AS short_circuit, n_media > 0 AND len(modalities) > 0 AND len(list_filter(modalities, lambda x: NOT list_contains(['transcript', 'ocr'], x))) = 0 AS complete FROM {_REQUESTS}")
+@query("vs_completeness", f"SELECT request_id, short_circuit, short_circuit IS NULL AND len(list_filter(modalities, lambda x: NOT list_contains(['transcript', 'ocr'], x))) = 0 AS complete FROM (SELECT *, CASE WHEN n_media = 0 THEN 'no media' WHEN trim(query) = '' THEN 'blank query' WHEN len(list_filter(['transcript', 'ocr'], lambda x: list_contains(modalities, x))) = 0 THEN 'no searchable modality' END AS short_circuit FROM {_REQUESTS})")
 def completeness(spark, d):
-    known = F.array(*(F.lit(m) for m in R.MODALITIES))
-    none = F.size(F.array_intersect(known, "modalities")) == 0
-    return _requests(spark).select("request_id", F.when(F.col("n_media") == 0, "no media").when(none, "no searchable modality").alias("short_circuit"), ((F.col("n_media") > 0) & (F.size("modalities") > 0) & (F.size(F.array_except("modalities", known)) == 0)).alias("complete"))
+    own = (F.col("n_media"), F.col("query"), F.col("modalities"))
+    return _requests(spark, d).select("request_id", R.short_circuit(*own).alias("short_circuit"), R.complete(*own).alias("complete"))

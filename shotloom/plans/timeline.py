@@ -101,7 +101,7 @@ def source_range(spark, d):
 @query("sf_audio_duration", _AUDIO + " SELECT item_id, source_owner, round(least(duration, greatest(0.001, (source_out - source_in) / speed)), 9) AS seconds, CAST(round(timeline_start * 1000) AS BIGINT) AS delay_ms FROM a")
 def audio_duration(spark, d):
     c = F.col
-    return M.audio_items(_items(spark, d)).select("item_id", "source_owner", F.round(F.least(c("duration"), F.greatest(F.lit(0.001), (c("source_out") - c("source_in")) / c("speed"))), 9).alias("seconds"), F.round(c("timeline_start") * 1000).cast("long").alias("delay_ms"))
+    return M.audio_items(_items(spark, d)).select("item_id", "source_owner", F.round(M.audio_seconds(c("duration"), c("source_in"), c("source_out"), c("speed")), 9).alias("seconds"), F.round(c("timeline_start") * 1000).cast("long").alias("delay_ms"))
 
 
 @query("sf_frame_count", _ITEMS + " SELECT item_id, greatest(1, CAST(ceil(greatest(0.1, duration) * 24) AS BIGINT)) AS frames FROM i")
@@ -111,18 +111,12 @@ def frame_count(spark, d):
 
 @query("so_manifest_order", _AUDIO + " SELECT document_id, item_id, row_number() OVER (PARTITION BY document_id ORDER BY timeline_start, track_index, item_id, item_index) AS pos FROM a")
 def manifest_order(spark, d):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("document_id").orderBy("timeline_start", "track_index", "item_id", "item_index")
-    return M.audio_items(_items(spark, d)).select("document_id", "item_id", F.row_number().over(own).cast("long").alias("pos"))
+    return M.in_audio_order(M.audio_items(_items(spark, d))).select("document_id", "item_id", "pos")
 
 
 @query("wn_ordinal_items", _ITEMS + " SELECT document_id, item_type, item_id, row_number() OVER (PARTITION BY document_id, item_type ORDER BY track_index, item_index) AS ordinal FROM i")
 def ordinals(spark, d):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("document_id", "item_type").orderBy("track_index", "item_index")
-    return _items(spark, d).select("document_id", "item_type", "item_id", F.row_number().over(own).cast("long").alias("ordinal"))
+    return P.ordinals(_items(spark, d), "document_id", "item_type").select("document_id", "item_type", "item_id", "ordinal")
 
 
 @query("jn_selection_order", _ITEMS + ", s AS (SELECT document_id, list(item_id ORDER BY item_index DESC, track_index, item_id) AS ids FROM i WHERE layer_order = 3 GROUP BY document_id), x AS (SELECT document_id, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM s) SELECT x.document_id, x.pos::INT AS pos, x.item_id FROM x WHERE EXISTS (SELECT 1 FROM i WHERE i.document_id = x.document_id AND i.item_id = x.item_id AND NOT i.hidden)")
@@ -130,7 +124,7 @@ def selection_order(spark, d):
     items = _items(spark, d)
     order = F.struct((-F.col("item_index")).alias("n"), "track_index", "item_id")
     chosen = items.where("layer_order = 3").groupBy("document_id").agg(F.sort_array(F.collect_list(order))["item_id"].alias("ids"))
-    return chosen.select("document_id", F.posexplode("ids").alias("pos", "item_id")).join(items.where(~F.col("hidden")).select("document_id", "item_id").distinct(), ["document_id", "item_id"]).select("document_id", "pos", "item_id")
+    return P.selected_items(chosen, items.where(~F.col("hidden")))
 
 
 @query("sf_style_values", exact(f"""SELECT p_partkey, round(least(200, greatest(0, 100 + (p_size - 25) + (118 - 100) * share)), 6) AS contrast, round(least(100, greatest(-100, p_size + (-6) * share)), 6) AS temperature, round(least(100, greatest(-100, 8 * share)), 6) AS gamma, round(least(100, greatest(-100, 4 * share)), 6) AS gain,
@@ -159,9 +153,16 @@ COMMANDS = [
 ]
 
 
-@query("pl_parsed_commands", "SELECT id AS command_id, form, a FROM (VALUES (0, 'split_here', 2.0), (1, 'split_at', 1.5), (2, 'add_text', 2.0), (3, 'add_text', 3.0), (4, 'add_text', NULL), (5, 'trim_range', 1.0), (6, 'trim_range', NULL), (7, 'trim_to', 1.0), (8, 'delete', NULL), (9, 'delete', NULL), (10, 'move', 18.0), (11, 'volume', 50.0), (12, 'volume', 150.0), (13, 'speed', 2.0), (14, 'speed', 0.0), (15, 'move', 4.0), (16, 'delete', NULL), (17, 'delete', NULL), (18, NULL, NULL), (19, NULL, NULL), (20, 'trim_range', 5.0), (21, 'split_at', 99999.0)) v(id, form, a)".replace("2.0", "2.0::DOUBLE"))
+_PARSED = "(VALUES (0, 'split_here', 2.0::DOUBLE), (1, 'split_at', 1.5), (2, 'add_text', 2.0), (3, 'add_text', 3.0), (4, 'add_text', NULL), (5, 'trim_range', 1.0), (6, 'trim_range', NULL), (7, 'trim_to', 1.0), (8, 'delete', NULL), (9, 'delete', NULL), (10, 'move', 18.0), (11, 'volume', 50.0), (12, 'volume', 150.0), (13, 'speed', 2.0), (14, 'speed', 0.0), (15, 'move', 4.0), (16, 'delete', NULL), (17, 'delete', NULL), (18, NULL, NULL), (19, NULL, NULL), (20, 'trim_range', 5.0), (21, 'split_at', 99999.0)) v(id, form, a)"
+
+
+@query("pl_parsed_commands", f"SELECT o_orderkey AS command_id, form, a FROM orders JOIN {_PARSED} ON id = o_orderkey % 22")
 def parsed_commands(spark, d):
-    return P.parse(_commands(spark, 0)).select("command_id", "form", "a")
+    """A command for each order, of every form and failure in turn."""
+    texts = F.array(*(F.lit(c) for c in COMMANDS))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    rows = orders.select(F.col("o_orderkey").alias("command_id"), F.col("o_custkey").alias("document_id"), F.get(texts, (F.col("o_orderkey") % len(COMMANDS)).cast("int")).alias("command"), F.lit(2.0).alias("playhead"), F.lit(None).cast("string").alias("active_id"), F.array().cast("array<string>").alias("selected"))
+    return P.parse(rows).select("command_id", "form", "a")
 
 
 def _commands(spark, document):

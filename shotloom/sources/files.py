@@ -60,6 +60,13 @@ def font_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("family string, weight string, italic boolean, file string").json(path)
 
 
+def font_files(rows: DataFrame, catalog: DataFrame, default: str) -> DataFrame:
+    """rows (family, weight) with file; families that the catalog lacks take the default family's file of that weight. The catalog has as many rows as there are fonts."""
+    own = catalog.select("family", "weight", "file").dropDuplicates(["family", "weight"])
+    other = own.where(F.col("family") == default).select("weight", F.col("file").alias("fallback"))
+    return rows.join(own, ["family", "weight"], "left").join(other, "weight", "left").withColumn("file", F.coalesce("file", "fallback")).drop("fallback")
+
+
 def put_objects(files: DataFrame, path: str) -> None:
     """Writes (key, content) as a table of blobs, which is what an object store of many small objects should be on a cluster."""
     files.select("key", "content").write.mode("append").parquet(path)
