@@ -24,11 +24,6 @@ def exists(keys: DataFrame, listing: DataFrame) -> DataFrame:
     return keys.join(listing.select("path", F.lit(True).alias("found")), "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def content_groups(files: DataFrame) -> DataFrame:
-    """Files by content: representative, members and their number; each content is processed once."""
-    return files.groupBy("content_hash").agg(F.min("path").alias("representative"), F.sort_array(F.collect_list("path")).alias("paths"), F.count("*").alias("n"))
-
-
 def _size(data: bytes):
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return struct.unpack(">II", data[16:24])
