@@ -83,15 +83,6 @@ def format_seconds(seconds: pd.Series) -> pd.Series:
     return seconds.map(lambda x: None if pd.isna(x) else f"{round(x, 3):g}s")
 
 
-def colour(text: Column) -> Column:
-    """struct(r, g, b, a) of #rgb, #rrggbb and #rrggbbaa; white for other text. Colour names are not known."""
-    own = F.lower(F.trim(text))
-    short = F.regexp_replace(own, r"\A#([0-9a-f])([0-9a-f])([0-9a-f])\z", "#$1$1$2$2$3$3")
-    full = F.when(short.rlike(r"\A#(?:[0-9a-f]{6}|[0-9a-f]{8})\z"), F.rpad(short, 9, "f")).otherwise("#ffffffff")
-    part = lambda i: F.conv(F.substring(full, i, 2), 16, 10).cast("int")
-    return F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"), part(8).alias("a"))
-
-
 def iso_utc(time: Column) -> Column:
     """ISO text with a Z, to the second."""
     return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

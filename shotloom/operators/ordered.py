@@ -44,6 +44,15 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], **sums: str
     return own.withColumns({n: F.col(n) + F.coalesce(f"ordered_{n}", F.lit(0)) for n in sums}).drop(*(f"ordered_{n}" for n in sums))
 
 
+def largest_before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows (of in_parts) with the largest value of the key's rows before this one; null without any."""
+    own = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, PART).agg(F.max(value).alias("ordered_top")).select(*keys, PART, F.max("ordered_top").over(over).alias("ordered_top"))
+    found = _with_edges(rows.withColumn(name, F.max(value).over(own)), parts, keys)
+    return found.withColumn(name, F.greatest(name, "ordered_top")).drop("ordered_top")
+
+
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, forward: bool = True, this: bool = True) -> DataFrame:
     """rows (of in_parts) with the last value that isn't null of the key up to this row, or without this row; or, not forward, the first from this row on. The order must tell all rows of a key apart."""
     turn = (lambda c: F.col(c)) if forward else (lambda c: F.desc(c))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import merged_maps
 from ..schemas import REQUEST_KEYS
+from .ordered import in_parts, largest_before, running_sums
 
 #: Attempts, delays in seconds, and kinds of a request. Fixed values.
 MAX_ATTEMPTS, DELAYS = 3, (30, 120, 600)
@@ -55,21 +56,23 @@ def stamped_headers(headers: Column, attempt: Column, error: Column) -> Column:
 
 
 def breaker_states(calls: DataFrame) -> DataFrame:
-    """(key, seq, state, allowed) of ordered calls (key, seq, t, failed) through a breaker per key.
+    """(key, seq, state, allowed) of ordered calls (key, seq, t, failed) through a breaker per key; seq tells a key's calls apart.
 
-    Each key's calls pass by in order, batch by batch, with two numbers of state; none are gathered.
-    Calls without a t count as made while the breaker isn't waiting.
+    A success OPEN_SECONDS or more after every earlier call always finds the breaker willing and leaves it closed without
+    failures, so what follows it is a run of its own. Each run passes by in order, batch by batch, with
+    two numbers of state; none are gathered. A key is as many tasks as it has runs; one that never
+    has such a success is a single one. Calls without a t count as made while the breaker isn't waiting.
     """
 
-    def run(batches):
+    def step(batches):
         import pandas as pd
 
-        key, fails, opened = object(), 0, None
+        own, fails, opened = object(), 0, None
         for batch in batches:
             out = []
-            for k, seq, t, failed in batch[["key", "seq", "t", "failed"]].itertuples(index=False):
-                if k != key:
-                    key, fails, opened = k, 0, None
+            for k, run, seq, t, failed in batch[["key", "run", "seq", "t", "failed"]].itertuples(index=False):
+                if (k, run) != own:
+                    own, fails, opened = (k, run), 0, None
                 if opened is not None and t < opened + OPEN_SECONDS:
                     out.append((k, seq, "open", False))
                     continue
@@ -79,5 +82,10 @@ def breaker_states(calls: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "seq", "state", "allowed"])
 
     types = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
-    rows = calls.select("key", "seq", "t", "failed").repartition("key").sortWithinPartitions("key", "seq")
-    return rows.mapInPandas(run, f"key {types['key']}, seq {types['seq']}, state string, allowed boolean")
+    rows = largest_before(in_parts(calls.select("key", "seq", "t", "failed"), ["key"], ["seq"]), ["key"], ["seq"], "t", "latest")
+    quiet = F.coalesce(F.col("t") >= F.col("latest") + OPEN_SECONDS, F.lit(True))
+    rows = rows.withColumn("reset", (quiet & ~F.coalesce("failed", F.lit(False))).cast("long"))
+    # the success itself still belongs to the run before it
+    rows = running_sums(rows, ["key"], ["seq"], run="reset").withColumn("run", F.col("run") - F.col("reset"))
+    rows = rows.repartition("key", "run").sortWithinPartitions("key", "run", "seq")
+    return rows.mapInPandas(step, f"key {types['key']}, seq {types['seq']}, state string, allowed boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as Y
+from ..functions import colours as CO
 from ..functions import layout as L
 from ..functions import numbers as U
 from ..functions import text as X
@@ -303,12 +304,12 @@ def started(spark, d):
     return R.started_events(A.load(spark, d, A.MESSAGES))
 
 
-@query("sf_colour", "SELECT p_partkey, (CASE p_partkey % 3 WHEN 2 THEN 255 ELSE p_partkey % 16 * 17 END)::INT AS r, 255 AS a FROM part")
+@query("sf_colour", "SELECT p_partkey, (CASE p_partkey % 4 WHEN 2 THEN 255 WHEN 3 THEN 176 ELSE p_partkey % 16 * 17 END)::INT AS r, (CASE p_partkey % 4 WHEN 1 THEN 240 ELSE 255 END)::INT AS a FROM part")
 def colours(spark, d):
     digit = F.lower(F.hex(F.col("p_partkey") % 16))
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, F.concat(F.lit(" #"), digit, digit, digit)).when(k == 1, F.concat(F.lit("#"), digit, digit, F.lit("00Ff"))).otherwise("chartreuse?")
-    return _read(spark, d, "part").select("p_partkey", X.colour(text).alias("c")).select("p_partkey", "c.r", "c.a")
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit(" #"), digit, digit, digit)).when(k == 1, F.concat(F.lit("#"), digit, digit, F.lit("00fFF0"))).when(k == 2, "chartreuse?").otherwise(" PowderBlue")
+    return _read(spark, d, "part").select("p_partkey", CO.colour(text).alias("c")).select("p_partkey", "c.r", "c.a")
 
 
 @query("sf_shot_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS occurred_at FROM events")

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from shotloom.functions import arrays, layout, text
+from shotloom.functions import arrays, colours, layout, text
 from shotloom.operators import metrics
 from shotloom.sources import fingerprints as P
 from shotloom.streaming import observing
@@ -125,3 +125,10 @@ def test_array_helpers(spark):
     ).first()
     assert row.uneven is None and row.merged == {"a": None, "b": 2} and row.some == {"b": 1}
     assert row.time.isoformat() == "2024-01-02T03:04:05" and row.naive is None and row.bad is None
+
+
+def test_colours(spark):
+    assert len(colours.NAMES) == 148 and all(len(v) == 6 and int(v, 16) >= 0 for v in colours.NAMES.values())
+    want = {"#1af": (17, 170, 255, 255), "#1af8": (17, 170, 255, 136), "#010203": (1, 2, 3, 255), "#01020304": (1, 2, 3, 4), " Tomato ": (255, 99, 71, 255), "rgb(1, 20,300)": (1, 20, 255, 255), "rgba(1,2,3,4)": (1, 2, 3, 4), "#12": (255,) * 4, "no colour": (255,) * 4, "": (255,) * 4, None: (255,) * 4}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", colours.colour(F.col("t")).alias("c")).collect()
+    assert {r.t: tuple(r.c) for r in rows} == want

@@ -102,3 +102,24 @@ def test_shot_cuts_keep_the_least_length(spark):
                 want.append((m, i))
                 last = i
     assert got == sorted(want) and bisect.bisect(got, ("b", 0)) == 0
+
+
+def test_breaker_runs_equal_one_fold_of_each_key(spark):
+    from shotloom.operators.routing import FAILURES, OPEN_SECONDS, breaker_states
+
+    r = random.Random(7)
+    calls, now = [], 0.0
+    for i in range(1500):
+        now += r.choice((0.1, 0.5, 1.0, 12.0, -3.0))
+        calls.append((r.choice(("hot", "hot", "hot", "b", None)), i, None if r.random() < 0.02 else now, None if r.random() < 0.02 else r.random() < 0.6))
+    got = {x.seq: (x.state, x.allowed) for x in breaker_states(spark.createDataFrame(calls, "key string, seq long, t double, failed boolean")).collect()}
+    state = {}
+    for k, seq, t, failed in calls:
+        fails, opened, is_open = state.get(k, (0, None, False))
+        if is_open and opened is not None and t is not None and t < opened + OPEN_SECONDS:
+            assert got[seq] == ("open", False)
+            continue
+        assert got[seq] == ("half-open" if is_open else "closed", True)
+        again = fails + 1 if failed else 0
+        state[k] = (again, t, True) if failed and (is_open or again >= FAILURES) else (again, None, False)
+    assert len(got) == len(calls)
