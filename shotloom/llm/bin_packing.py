@@ -6,8 +6,10 @@ tightest remaining capacity that holds them; the bins stand in a balanced tree b
 Groups of equal size are interchangeable, and after one of them enters a bin, the next enters the
 same bin while it fits. So the packing runs over the distinct sizes with their numbers of groups,
 which gives the same bins as group by group. Distinct sizes are few: k of them need k * k / 2 bytes
-of text, so 100 TB has under 15 million at the very most. The driver holds only these; every group
-finds its run of the plan by its size and its rank among the groups of that size, in a join.
+of text, so 100 TB has under 15 million at the very most. Bins of equal rest capacity that follow
+each other are one node of the tree, so a size adds a few nodes, however many bins it fills. The driver holds
+the distinct sizes and these nodes; every group finds its run of the plan by its size and its rank
+among the groups of that size, in a join.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ BROADCAST_RUNS = 250_000
 
 
 class CapacityTree:
-    """Bins by remaining capacity in an implicit treap: O(log n) insert, remove and search for the least that is enough."""
+    """Runs of bins (capacity, first bin, number) by remaining capacity in a treap: O(log n) insert, remove and search for the least that is enough."""
 
     __slots__ = ("root", "seed")
 
@@ -47,7 +49,7 @@ class CapacityTree:
     def _split(self, node, key):
         if node is None:
             return None, None
-        if node[0] < key:
+        if node[0][:2] < key:
             node[3], right = self._split(node[3], key)
             return node, right
         left, node[2] = self._split(node[2], key)
@@ -62,12 +64,12 @@ class CapacityTree:
         b[2] = self._merge(a, b[2])
         return b
 
-    def add(self, capacity: int, name: int) -> None:
-        low, high = self._split(self.root, (capacity, name))
-        self.root = self._merge(self._merge(low, [(capacity, name), self._priority(), None, None]), high)
+    def add(self, capacity: int, first: int, bins: int = 1) -> None:
+        low, high = self._split(self.root, (capacity, first))
+        self.root = self._merge(self._merge(low, [(capacity, first, bins), self._priority(), None, None]), high)
 
     def take_tightest(self, size: int):
-        """Removes and returns the (capacity, name) of least capacity >= size, or None."""
+        """Removes and returns the run of least capacity >= size, or None."""
         low, high = self._split(self.root, (size, -1))
         if high is None:
             self.root = low
@@ -103,18 +105,22 @@ def best_fit_runs(classes: list[tuple[int, int]], capacity: int, most: int | Non
         while start < count:
             found = tree.take_tightest(size)
             if found is not None:
-                each = min(count - start, found[0] // size)
-                runs.append(Run(size, start, each, each, found[1]))
-                tree.add(found[0] - each * size, found[1])
-                start += each
+                # equal groups fill the run's bins one after the other; the last may take fewer
+                left, first, bins = found
+                each = min(count - start, left // size)
+                full = min(bins, (count - start) // each)
+                runs.append(Run(size, start, full * each, each, first))
+                tree.add(left - each * size, first, full)
+                if full < bins:
+                    tree.add(left, first + full, bins - full)
+                start += full * each
                 continue
             each = min(count - start, capacity // size)
             bins = (count - start) // each
             if most is not None and used + bins > most:
                 return None
             runs.append(Run(size, start, bins * each, each, used))
-            for name in range(used, used + bins):
-                tree.add(capacity - each * size, name)
+            tree.add(capacity - each * size, used, bins)
             used, start = used + bins, start + bins * each
     return runs
 

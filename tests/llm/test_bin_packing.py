@@ -73,3 +73,17 @@ def test_odd_rows(spark):
         own = [x.slot for x in got if x.shard == s]
         assert sorted(own) == list(range(len(own)))
     assert len({x.shard for x in got if x.doc_id in (2, 3)}) == 1
+
+
+def test_very_many_bins_are_few_nodes():
+    import tracemalloc
+
+    tracemalloc.start()
+    classes = [(510 - k, 20_000) for k in range(500)]  # ten million groups, two or a few to a bin
+    runs = bin_packing.best_fit_runs(classes, 1000)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert sum(r.count for r in runs) == 10_000_000 and len(runs) < 20_000
+    small = [(s, 25) for s, _ in classes[::5]]
+    used = {r.bin + i for r in bin_packing.best_fit_runs(small, 1000) for i in range(-(-r.count // r.each))}
+    assert len(used) == len(plain([s for s, n in small for _ in range(n)], 1000))
