@@ -10,6 +10,7 @@ from ..functions import layout as L
 from ..functions import numbers as U
 from ..functions import text as X
 from ..operators import cache as K
+from ..operators import cache_table as CT
 from ..operators import metrics as M
 from ..operators import routing as R
 from ..sources import adapters as A
@@ -155,6 +156,16 @@ def second_chance(spark, d):
     return _lookup(spark, d).select("pos", "outcome")
 
 
+@query("jn_cache_bucketed", _LOOKUP)
+def cache_bucketed(spark, d):
+    """The second chance over two stored cache tables, which the lookups read in place."""
+    rows = A.load(spark, d, A.CACHE_REQUESTS)
+    name = lambda v: F.concat(F.lit(v), F.col("pos").cast("string"))
+    current = CT.CacheTable.write(rows.where("in_cache").select(name("v2:").alias("key"), (~F.col("corrupt")).alias("valid")), 16)
+    legacy = CT.CacheTable.write(rows.where("in_legacy").select(name("v1:").alias("key"), F.lit(True).alias("valid")), 16)
+    return CT.second_chance(rows.select("pos", name("v2:").alias("key"), name("v1:").alias("legacy_key")), current, legacy).select("pos", "outcome")
+
+
 @query("ag_lookup_outcomes", f"SELECT outcome, count(*) AS n FROM ({_LOOKUP}) GROUP BY outcome")
 def outcomes(spark, d):
     return M.counters(_lookup(spark, d), "outcome")
