@@ -203,19 +203,27 @@ def _lengths(items: DataFrame):
     return sorted(r[0] for r in items.select("text").mapInArrow(count, "n long").where("n > 0").distinct().collect())  # at most WINDOW values
 
 
-def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the items, with the item's class: the least id of equal windows and shape."""
+def _benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows of the items that stand for a variant, and the names of all items' variants and classes.
+
+    Items of one class have the same canonical tokens and the same slots with equal values; those of one variant
+    also have equal windows of few plain words, which hold the values. Windows have the class, its
+    least item id, and first for the variant that stands for the class.
+    """
     items = benchmark.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("t"), "text").where("id is not null")
     found = C.cut(_windows(items, _lengths(items) or [WINDOW], None, True).dropDuplicates(["id", "t", "reading", "length", "gram", "place"]))
-    key = F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("reading", "length", "place", "gram", "exact", "shape")))))
-    keys = found.groupBy("id", "t").agg(key.alias("key"))
-    keys = keys.join(keys.groupBy("key").agg(F.min("id").alias("class"), F.min(F.struct("id", "t")).alias("one")), "key")
-    return C.cut(found.join(keys.select("id", "t", "class", (F.struct("id", "t") == F.col("one")).alias("leads")), ["id", "t"]))
+    digest = lambda *c: F.md5(F.to_json(F.array_sort(F.collect_set(F.struct(*c)))))
+    keys = found.groupBy("id", "t").agg(digest("reading", "shape").alias("template"), digest("reading", "length", "place", "gram", "exact", "shape").alias("variant"))
+    one = F.struct("id", "t")
+    classes = keys.groupBy("template").agg(F.min("id").alias("class"), F.min(one).alias("first_one"))
+    variants = keys.groupBy("variant").agg(F.min(one).alias("one"))
+    named = C.cut(keys.join(classes, "template").join(variants, "variant").select("id", "t", "class", F.col("one.id").alias("variant_id"), (one == F.col("one")).alias("leads"), (one == F.col("first_one")).alias("first")))
+    return C.cut(found.join(named.where("leads").select("id", "t", "class", "first"), ["id", "t"])), named
 
 
 def item_classes(benchmark: DataFrame) -> DataFrame:
-    """(item_id, class_id) of every item with a token: the items of a class have the same canonical tokens and the same slots with equal values; class_id is the least of them."""
-    return _benchmark_windows(benchmark).select(F.col("id").alias("item_id"), F.col("class").alias("class_id")).distinct()
+    """(item_id, class_id, variant_id) of every item with a token: the items of a class have the same canonical tokens and the same slots with equal values; class_id is the least of them. Those of a variant can't be told apart by their windows of few plain words either."""
+    return _benchmark_windows(benchmark)[1].select(F.col("id").alias("item_id"), F.col("class").alias("class_id"), "variant_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY, gap: int = GAP) -> DataFrame:
@@ -233,21 +241,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     are ignored.
     """
     spark = docs.sparkSession
-    known = _benchmark_windows(benchmark).where("leads")
+    known, _ = _benchmark_windows(benchmark)
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most WINDOW values
-    # readings 0 and 1 count template windows only; 2 and 3 are the same readings with exact windows, for items that have some
-    mixed = known.groupBy("id", "t", "reading").agg(F.max("exact").alias("mixed"))
-    known = C.cut(known.join(mixed, ["id", "t", "reading"]))
-    views = F.filter(F.array(F.when(~F.col("exact"), F.col("reading")), F.when(F.col("mixed"), F.col("reading") + 2)), lambda x: x.isNotNull())
-    tokens = known.groupBy("id", "t", "reading").agg(F.max(F.col("place") + F.col("length")).alias("all"), F.max(F.when(~F.col("exact"), F.col("place") + F.col("length"))).alias("plain"))
-    known = known.join(tokens, ["id", "t", "reading"])
-    few = known.count() <= BROADCAST_WINDOWS
-    allowed = spark.sparkContext.broadcast(_bit_map(known))
+    # all members of a class have equally many tokens
+    tokens = known.groupBy("class", "reading").agg(F.max(F.col("place") + F.col("length")).alias("all"), F.max(F.when(~F.col("exact"), F.col("place") + F.col("length"))).alias("plain"))
+    side = C.cut(known.where("first OR exact").join(tokens, ["class", "reading"]).select(F.col("class").alias("item_id"), F.col("t").alias("item"), "reading", "length", "gram", "exact", "all", "plain", F.col("place").alias("at"), F.col("slots").alias("own")))
+    few = side.count() <= BROADCAST_WINDOWS
+    allowed = spark.sparkContext.broadcast(_bit_map(side))
     found = _windows(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text"), lengths or [WINDOW], allowed, False).drop("shape")
-    side = known.select(F.col("id").alias("item_id"), F.col("t").alias("item"), "reading", "length", "gram", "exact", "mixed", "all", "plain", F.col("place").alias("at"), F.col("slots").alias("own"))
-    hits = found.join(F.broadcast(side) if few else side, ["reading", "length", "gram", "exact"])
-    hits = hits.withColumn("reading", F.explode(views)).withColumn("tokens", F.when(F.col("reading") >= 2, F.col("all")).otherwise(F.col("plain")))
-    hits = hits.select(F.col("id").alias("doc_id"), "t", "item_id", "item", "reading", "tokens", F.struct("at", "length").alias("window"), (F.col("place") - F.col("at")).alias("diagonal"), F.arrays_zip("own", "slots").alias("pairs"))
+    hits = C.cut(found.join(F.broadcast(side) if few else side, ["reading", "length", "gram", "exact"]).withColumnRenamed("id", "doc_id"))
+    # readings 0 and 1 count the template windows of the class; 2 and 3 are the same readings with the exact windows of one
+    # variant, asked only where the text has some of them
+    template = hits.where("NOT exact").withColumn("tokens", F.col("plain"))
+    exact = hits.where("exact").withColumn("tokens", F.col("all"))
+    asked = exact.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), F.col("item_id").alias("class"), F.col("item").alias("variant"), F.col("reading").alias("r")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("item_id") == F.col("class")) & (F.col("reading") == F.col("r"))
+    rest = template.drop("own", "item", "tokens").join(asked, same).drop("d", "dt", "class", "r").withColumnRenamed("variant", "item")
+    values = known.where("NOT exact").select(F.col("class").alias("item_id"), F.col("t").alias("item"), "reading", "length", F.col("place").alias("at"), F.col("slots").alias("own"))
+    rest = rest.join(F.broadcast(values) if few and values.count() <= BROADCAST_WINDOWS else values, ["item_id", "item", "reading", "length", "at"]).withColumn("tokens", F.col("all"))
+    hits = template.unionByName(exact.unionByName(rest).withColumn("reading", F.col("reading") + 2))
+    hits = hits.select("doc_id", "t", "item_id", "item", "reading", "tokens", F.struct("at", "length").alias("window"), (F.col("place") - F.col("at")).alias("diagonal"), F.arrays_zip("own", "slots").alias("pairs"))
     # what one diagonal or one alignment gathers is bounded by the item's length
     place = ["doc_id", "t", "item_id", "item", "reading", "tokens"]
     lines = hits.groupBy(*place, "diagonal").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -121,3 +121,18 @@ def test_texts_under_one_id_and_without_one(spark):
     items = [(1, own), (1, "quite another text of the same id stands here now"), (None, half)]
     got = [(x.doc_id, x.item_id, x.coverage) for x in D.contaminated(spark.createDataFrame(rows, DOC).selectExpr("*", "1 as item_id", "2 as reading"), spark.createDataFrame(items, ITEM).selectExpr("*", "1 as doc_id")).collect()]
     assert sorted(got, key=repr) == [(2, 1, 1.0), (None, 1, 1.0)]
+
+
+def test_a_family_of_number_dense_items_is_one_class(spark):
+    """Items of one template whose windows of few plain words differ: a row for each document, not for each pair."""
+    head = "a train leaves the station in the morning and carries coal to the harbour where workers unload it with"
+    item = lambda i: f"{head} {i + 1} {i + 2000} {i + 31} {i + 4700} {i + 550} {i + 66} {i + 77} {i + 80} cranes"
+    bench = spark.createDataFrame([(i, item(i)) for i in range(100)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"Notes {k}: {item(k)} and so on.") for k in range(50)], "doc_id long, text string")
+    got = D.contaminated(docs, bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(50)) and {r.item_id for r in got} == {0}
+    assert all(r.coverage == 1.0 and r.consistency == 1.0 for r in got)
+    names = D.item_classes(bench).collect()
+    assert {r.class_id for r in names} == {0} and {r.variant_id for r in names} == set(range(100))
+    # the variant's own windows tell that nothing was changed
+    assert {r.n_changed for r in got} == {0}
