@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import fresh
+
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_seconds: float) -> DataFrame:
     """Pairs with max(starts) < min(ends) under an equal key; columns of right get the prefix r_.
@@ -12,15 +14,17 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_seconds: fl
     Each interval goes to every bucket it touches; a pair is kept in the bucket of its common start
     alone, so there are no duplicates. Null bounds never overlap.
     """
+    bucket = fresh(left, fresh(right, "bucket"))
+
     def cut(df):
         to = F.floor(F.greatest("end_seconds", "start_seconds") / bucket_seconds)
-        return df.where("start_seconds is not null and end_seconds is not null").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_seconds") / bucket_seconds), to)))
+        return df.where("start_seconds is not null and end_seconds is not null").withColumn(bucket, F.explode(F.sequence(F.floor(F.col("start_seconds") / bucket_seconds), to)))
 
     own, other = cut(left), cut(right)
     other = other.select(*(F.col(c).alias(f"r_{c}") for c in other.columns))
     start, end = F.greatest("start_seconds", "r_start_seconds"), F.least("end_seconds", "r_end_seconds")
-    pairs = own.join(other, (F.col(key) == F.col(f"r_{key}")) & (F.col("__b") == F.col("r___b")) & (start < end) & (F.floor(start / bucket_seconds) == F.col("__b")))
-    return pairs.drop("__b", "r___b")
+    pairs = own.join(other, (F.col(key) == F.col(f"r_{key}")) & (F.col(bucket) == F.col(f"r_{bucket}")) & (start < end) & (F.floor(start / bucket_seconds) == F.col(bucket)))
+    return pairs.drop(bucket, f"r_{bucket}")
 
 
 def bucket_of(*sides: DataFrame) -> float:

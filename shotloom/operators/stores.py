@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .commit_log import CommitLog
+
 
 def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Rows of updates win over rows of base with an equal key."""
@@ -52,17 +54,31 @@ def healthy(spark) -> DataFrame:
     return spark.range(1).select(F.lit(1).alias("ok"))
 
 
-def write_replaced(content: DataFrame, path: str, partition: str) -> None:
-    """Stores one content per version folder and then adds a pointer to it, so readers see the last whole write at any time. The newest pointer counts."""
-    import time
+def write_replaced(content: DataFrame, path: str, partition: str) -> int:
+    """Stores the whole content in a folder of its own and then makes it the next version, which one writer alone can take; readers see the last whole write at any time. For tables of which a write changes few keys, see keyed_table."""
     import uuid
 
-    spark = content.sparkSession
-    version = uuid.uuid4().hex
-    content.write.partitionBy(partition).parquet(f"{path}/v={version}")
-    spark.createDataFrame([(time.time_ns(), version)], "written long, version string").coalesce(1).write.mode("append").parquet(f"{path}/_current")
+    name = uuid.uuid4().hex
+    content.write.partitionBy(partition).parquet(f"{path}/v={name}")
+    return CommitLog(content.sparkSession, f"{path}/_log").append({"id": name})
+
 
+def read_replaced(spark, path: str, version: int | None = None) -> DataFrame:
+    """The last content, or that of an earlier version which is still there."""
+    entries = [e for e in CommitLog(spark, f"{path}/_log").entries() if version is None or e["version"] == version]
+    return spark.read.parquet(f"{path}/v={entries[-1]['id']}")
+
+
+def remove_replaced(spark, path: str, keep: int = 2, older_seconds: float = 86_400) -> int:
+    """Deletes the contents of all but the last versions, and of writes that never became one, once they are old enough for no reader or writer to be at them; returns how many."""
+    import time
 
-def read_replaced(spark, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/_current").agg(F.max_by("version", F.struct("written", "version"))).first()[0]
-    return spark.read.parquet(f"{path}/v={version}")
+    log, removed = CommitLog(spark, f"{path}/_log"), 0
+    kept = {e["id"] for e in log.entries()[-keep:]}
+    fs, top = log.files(path)
+    for s in fs.listStatus(top):
+        name = s.getPath().getName()
+        if name.startswith("v=") and name[2:] not in kept and time.time() - s.getModificationTime() / 1000 >= older_seconds:
+            fs.delete(s.getPath(), True)
+            removed += 1
+    return removed

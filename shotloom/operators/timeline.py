@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round3, source_range
 from ..functions.text import seconds_literal
+from ..workspace import fresh
 
 #: Command forms in their order: (name, pattern, groups of target and values). Fixed values.
 FORMS = (
@@ -38,18 +39,19 @@ def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def parse(commands: DataFrame) -> DataFrame:
     """Adds form, target, a and b (numbers or seconds); form is null for unknown commands."""
+    held = fresh(commands, "plain_command")
     own = F.trim(F.regexp_replace("command", r"(?U)[\s\x1c-\x1f]+", " "))
     whole = {name: rf"(?i)\A(?:{pattern})\z" for name, pattern, _ in FORMS}
-    form = F.coalesce(*(F.when(F.col("__own").rlike(whole[name]), name) for name, _, _ in FORMS))
-    rows = _fixed(_fixed(commands, __own=own), form=form)
+    form = F.coalesce(*(F.when(F.col(held).rlike(whole[name]), name) for name, _, _ in FORMS))
+    rows = _fixed(_fixed(commands, **{held: own}), form=form)
     parts = {}
     for i, part in enumerate(("target", "raw_a", "raw_b")):
         taken = F.lit(None).cast("string")
         for name, _, groups in FORMS:
             if groups[i]:
-                taken = F.when(F.col("form") == name, F.nullif(F.regexp_extract("__own", whole[name], groups[i]), F.lit(""))).otherwise(taken)
+                taken = F.when(F.col("form") == name, F.nullif(F.regexp_extract(held, whole[name], groups[i]), F.lit(""))).otherwise(taken)
         parts[part] = taken
-    rows = _fixed(rows, **parts).drop("__own")
+    rows = _fixed(rows, **parts).drop(held)
     number = F.col("form").isin("volume", "speed")
     value = F.when(number, F.col("raw_a").try_cast("double")).when(F.col("form") == "split_here", F.col("playhead")).when((F.col("form") == "add_text") & F.col("raw_a").isNull(), F.col("playhead")).otherwise(seconds_literal(F.col("raw_a")))
     return _fixed(rows, a=value, b=seconds_literal(F.col("raw_b")))

@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def fresh(df, stem: str) -> str:
+    """A column name beginning with stem that df doesn't have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while stem.lower() in held:
+        stem += "_"
+    return stem
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shotloom-{name}/{uuid.uuid4().hex}"
 

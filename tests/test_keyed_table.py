@@ -82,3 +82,12 @@ def test_one_wrong_dimension_leaves_the_former_points(spark, tmp_path):
     K.write_points(t, made(0, "c"), media("m2", "m3", "m4", "m1", "none"), dims)
     assert ids() == []
     assert t.vacuum(0) == 0  # all committed writes still count; the failed ones left no files
+
+
+def test_whole_contents_are_numbered_and_old_ones_removed(spark, tmp_path):
+    at = str(tmp_path / "w")
+    made = [spark.createDataFrame([(i, f"v{i}")], SCHEMA) for i in range(4)]
+    assert [stores.write_replaced(m, at, "k") for m in made] == [1, 2, 3, 4]
+    assert rows(stores.read_replaced(spark, at)) == [(3, "v3")] and rows(stores.read_replaced(spark, at, 2)) == [(1, "v1")]
+    assert stores.remove_replaced(spark, at, 2, 3600) == 0 and stores.remove_replaced(spark, at, 2, 0) == 2
+    assert rows(stores.read_replaced(spark, at)) == [(3, "v3")] and rows(stores.read_replaced(spark, at, 3)) == [(2, "v2")]
