@@ -32,9 +32,17 @@ def norm_of(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _rows(column) -> np.ndarray:
+    """A list column of vectors of one length, as rows."""
+    import pyarrow as pa
+
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1) if len(own) else np.zeros((0, 0))
+
+
 def _units(column) -> np.ndarray:
     """Unit vectors of a list column, as rows; zero vectors stay zero."""
-    x = np.array(column.to_pylist(), np.float64)
+    x = _rows(column)
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -58,6 +66,8 @@ def _round(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
 
         total, n = np.zeros(centres.shape, np.int64), np.zeros(len(centres), np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _units(batch.column(0))
             at, _ = _nearest(x, centres)
             np.add.at(total, at, np.rint(x * FIXED).astype(np.int64))
@@ -218,6 +228,8 @@ def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int) ->
         import pyarrow as pa
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             dots = np.where(held, _units(batch.column(1)) @ centres.T, -np.inf)
             take = np.argsort(-dots, axis=1, kind="stable")[:, : min(probes, int(held.sum()))]
             rows = pa.array(np.repeat(np.arange(len(dots)), take.shape[1]))
@@ -226,7 +238,7 @@ def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int) ->
     def scores(key, vectors, asked):
         import pyarrow as pa
 
-        x, q = (np.array(t.column(c).to_pylist(), np.float64).reshape(-1, dim) for t, c in ((vectors, "vector"), (asked, "query")))
+        x, q = (_rows(t.column(c)).reshape(-1, dim) for t, c in ((vectors, "vector"), (asked, "query")))
         ids, norms = vectors.column("vec_id").to_numpy(), vectors.column("norm").to_numpy()
         out = ([], [], [])
         for a in range(0, len(q), 256):
