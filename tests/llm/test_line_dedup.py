@@ -62,3 +62,11 @@ def test_hash_is_perfect_minimal_and_rejects_others(n):
     assert len(shard.counts) == n and int(np.bitwise_count(shard.places).sum()) == n
     assert len(shard.places) * 64 <= 6 * n + 64 * 30
     assert not shard.find(g.integers(0, 2**63, (1000, 2), dtype=np.uint64)).any()
+
+
+def test_against_its_sql(spark):
+    from shotloom.llm import registry
+    from tests.compare import compare, connect
+
+    path, name = "/root/testdata/sf0.001", "op12_line_dedup"
+    assert compare(spark, connect(path), path, name, registry.QUERIES[name], registry.ORACLES[name]) is None

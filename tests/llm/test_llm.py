@@ -380,7 +380,7 @@ def test_pipeline_stages_on_nothing(spark):
 def test_queries_have_their_columns(spark):
     from shotloom.llm.registry import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_jaccard_join_against_its_sql(spark):

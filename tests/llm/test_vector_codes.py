@@ -67,3 +67,11 @@ def test_screening_never_misses_a_near_tie():
     at, error = V.nearest(x, book)
     d = ((x[:, None, :] - book[None]) ** 2).sum(2)
     assert (at == d.argmin(1)).all() and (error == d.min(1)).all()
+
+
+def test_against_its_sql(spark):
+    from shotloom.llm import registry
+    from tests.compare import compare, connect
+
+    path, name = "/root/testdata/sf0.001", "op13_vector_codes"
+    assert compare(spark, connect(path), path, name, registry.QUERIES[name], registry.ORACLES[name]) is None
