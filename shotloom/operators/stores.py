@@ -14,8 +14,10 @@ from .commit_log import CommitLog
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Rows of updates win over rows of base with an equal key."""
-    return base.join(updates.select(key), key, "left_anti").unionByName(updates, allowMissingColumns=True)
+    """Rows of updates win over rows of base with an equal key. Of several updates of a key one counts, the greatest by their other columns."""
+    others = [c for c in updates.columns if c != key]
+    last = updates.groupBy(key).agg(F.max(F.struct(*others)).alias("upsert_row")).select(key, "upsert_row.*") if others else updates.distinct()
+    return base.join(updates.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def replace_by_key(base: DataFrame, updates: DataFrame, keys: DataFrame, key: str) -> DataFrame:
