@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shotloom.operators import stores
+from shotloom.operators import stores, timeline
 
 
 def test_upsert_takes_one_row_of_repeated_updates(spark):
@@ -13,3 +13,36 @@ def test_upsert_takes_one_row_of_repeated_updates(spark):
         assert sorted(map(tuple, stores.upsert(base, new.repartition(n), "k").collect())) == want
     assert sorted(r.k for r in stores.upsert(base.select("k"), new.select("k"), "k").collect()) == [1, 2, 3, 4]
     assert stores.upsert(base, new.limit(0), "k").count() == 3
+
+
+def _timeline(spark, documents):
+    kinds = F.element_at(F.array(*map(F.lit, ("video", "audio", "text", "image"))), (F.col("item_index") % 4 + 1).cast("int"))
+    rows = spark.range(documents * 12).select((F.col("id") % documents).alias("document_id"), F.lit(0).alias("track_index"), F.floor(F.col("id") / documents).cast("int").alias("item_index"))
+    rows = rows.withColumns({"item_id": F.concat(F.lit("Item-"), "item_index"), "item_type": kinds, "timeline_start": F.col("item_index") * 1.0, "duration": F.lit(2.0), "source_in": F.lit(0.0), "source_out": F.lit(9.0), "speed": F.lit(1.0)})
+    return rows.withColumn("text", F.concat(F.lit("Title "), "item_index"))
+
+
+def _asked(spark, commands):
+    rows = [(i, *c) for i, c in enumerate(commands)]
+    return spark.createDataFrame(rows, "command_id long, document_id long, command string, playhead double, active_id string, selected array<string>")
+
+
+def test_plan_deals_items_once(spark):
+    items = _timeline(spark, 3)
+    out = timeline.plan(_asked(spark, [(d, "move clip 2 to 4.5s", 0.0, None, []) for d in (0, 1, 2, 7)]), items, 3)
+    assert [(r.command_id, r.item_ids, r.reason) for r in out.orderBy("command_id").collect()] == [(0, "Item-4", None), (1, "Item-4", None), (2, "Item-4", None), (3, None, "no match")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_plan_matches_in_stages_and_kinds(spark):
+    commands = {
+        (0, "delete ITEM-3", None): "Item-3", (0, "delete title 1", None): "ambiguous", (0, "delete tle 7", None): "Item-7", (0, "delete item 02", None): "Item-1", (0, "set volume item 2 to 5%", None): "Item-5",
+        (0, "set volume clip 1 to 5%", None): "no match", (0, "set volume to 5%", ("Item-0", "Item-1", "Item-2")): "Item-1", (0, "change speed item-1 to 2x", None): "no match", (0, "set volume tle 1 to 5%", None): "Item-1",
+        (0, "delete", ("Item-9", "gone", None, "Item-1", "Item-9")): "Item-9,Item-1", (0, "delete", ("gone",)): "nothing selected", (None, "delete item 1", None): "no match", (5, "delete item 1", None): "no match", (0, 'add text "x"', None): None,
+        (0, "change speed to 2x", ("Item-0", "Item-4")): "ambiguous", (0, "delete item 99999999999", None): "no match", (None, "", None): "empty command",
+    }
+    asked = _asked(spark, [(d, c, 1.0, None, list(s) if s else s) for d, c, s in commands])
+    items = _timeline(spark, 2).unionByName(_timeline(spark, 1).withColumns({"document_id": F.lit(None).cast("long")}))
+    for parts in (None, 5):
+        got = timeline.plan(asked, items, parts).orderBy("command_id").collect()
+        assert [r.item_ids if r.ok else r.reason for r in got] == list(commands.values())
