@@ -16,31 +16,54 @@ from ..workspace import written
 
 #: The column that numbers the parts. Inputs must not have it.
 PART = "ordered_part"
+#: Rows of a part, about; a part's windows are one task.
+PART_ROWS = 200_000
 
 
 def in_parts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows, written, with the number of their part; parts follow each other in the order of (keys, order). Rows that are equal in these are in one part."""
-    return written(rows.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()), "ordered")
+    """rows, written, with the number of their part; parts follow each other in the order of (keys, order). Rows that are equal in these are in one part.
+
+    Rows are written before, too: they are counted for the number of parts, and sampled for their bounds, without computing them again.
+    """
+    held = written(rows, "ordered_rows")
+    n = max(held.sparkSession.sparkContext.defaultParallelism, -(-held.count() // PART_ROWS))
+    parts = written(held.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()), "ordered")
+    parts.ordered_parts = n  # for _dealt
+    return parts
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows straight from in_parts, dealt to as many tasks as there are parts, whatever adaptive execution would join; others lie so already."""
+    n = getattr(rows, "ordered_parts", None)
+    return rows.repartition(n, *keys, PART) if n else rows
 
 
 def _inside(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, PART).orderBy(*order)
 
 
+def _cut(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the first and the last key of each part: the only ones that other parts can have too, two keys a part at most."""
+    key = F.struct(*(F.col(k).alias(f"ordered_key_{i}") for i, k in enumerate(keys)))
+    ends = rows.groupBy(PART).agg(F.min(key).alias("a"), F.max(key).alias("b")).select(F.col(PART).alias("ordered_key_part"), F.inline(F.array_distinct(F.array("a", "b"))))
+    same = [F.col(k).eqNullSafe(F.col(f"ordered_key_{i}")) for i, k in enumerate(keys)]
+    return rows.join(F.broadcast(ends), [F.col(PART) == F.col("ordered_key_part"), *same], "left_semi")
+
+
 def _with_edges(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with what reaches their part; keys may be null."""
+    """rows joined with what reaches their part; keys may be null. edges: of the rows of _cut."""
     named = {k: f"ordered_key_{i}" for i, k in enumerate([*keys, PART])}
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
-    return rows.join(edges.withColumnsRenamed(named), same, "left").drop(*named.values())
+    return rows.join(F.broadcast(edges.withColumnsRenamed(named)), same, "left").drop(*named.values())
 
 
 def running_sums(rows: DataFrame, keys: list[str], order: list[str], **sums: str) -> DataFrame:
     """rows (of in_parts) with each named sum of a column over the rows of the key up to this one. The order must tell all rows of a key apart."""
     upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, PART).agg(*(F.sum(c).alias(f"ordered_{n}") for n, c in sums.items()))
+    parts = _cut(rows, keys).groupBy(*keys, PART).agg(*(F.sum(c).alias(f"ordered_{n}") for n, c in sums.items()))
     parts = parts.select(*keys, PART, *(F.sum(f"ordered_{n}").over(before).alias(f"ordered_{n}") for n in sums))
-    own = _with_edges(rows.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}), parts, keys)
+    own = _with_edges(_dealt(rows, keys).withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}), parts, keys)
     return own.withColumns({n: F.col(n) + F.coalesce(f"ordered_{n}", F.lit(0)) for n in sums}).drop(*(f"ordered_{n}" for n in sums))
 
 
@@ -48,21 +71,28 @@ def largest_before(rows: DataFrame, keys: list[str], order: list[str], value: st
     """rows (of in_parts) with the largest value of the key's rows before this one; null without any."""
     own = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, PART).agg(F.max(value).alias("ordered_top")).select(*keys, PART, F.max("ordered_top").over(over).alias("ordered_top"))
-    found = _with_edges(rows.withColumn(name, F.max(value).over(own)), parts, keys)
+    parts = _cut(rows, keys).groupBy(*keys, PART).agg(F.max(value).alias("ordered_top")).select(*keys, PART, F.max("ordered_top").over(over).alias("ordered_top"))
+    found = _with_edges(_dealt(rows, keys).withColumn(name, F.max(value).over(own)), parts, keys)
     return found.withColumn(name, F.greatest(name, "ordered_top")).drop("ordered_top")
 
 
+def _window(keys: list[str], order: list[str], forward: bool, this: bool):
+    turned = order if forward else [F.desc(c) for c in order]
+    return Window.partitionBy(*keys, PART).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if this else -1)
+
+
+def _edge(rows: DataFrame, keys: list[str], order: list[str], value: str, forward: bool) -> DataFrame:
+    """(keys, PART, ordered_end): the last value that isn't null of the parts of a key before this one, or, not forward, the first of those after it."""
+    over = Window.partitionBy(*keys).orderBy(PART if forward else F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    take = F.max_by if forward else F.min_by
+    ends = _cut(rows, keys).groupBy(*keys, PART).agg(take(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("ordered_end"))
+    return ends.select(*keys, PART, F.last("ordered_end", ignorenulls=True).over(over).alias("ordered_end"))
+
+
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, forward: bool = True, this: bool = True) -> DataFrame:
     """rows (of in_parts) with the last value that isn't null of the key up to this row, or without this row; or, not forward, the first from this row on. The order must tell all rows of a key apart."""
-    turn = (lambda c: F.col(c)) if forward else (lambda c: F.desc(c))
-    edge = 0 if this else -1
-    own = Window.partitionBy(*keys, PART).orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, edge)
-    over = Window.partitionBy(*keys).orderBy(turn(PART)).rowsBetween(Window.unboundedPreceding, -1)
-    take = F.max_by if forward else F.min_by
-    ends = rows.groupBy(*keys, PART).agg(take(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("ordered_end"))
-    ends = ends.select(*keys, PART, F.last("ordered_end", ignorenulls=True).over(over).alias("ordered_end"))
-    found = _with_edges(rows.withColumn(name, F.last(value, ignorenulls=True).over(own)), ends, keys)
+    own, ends = _window(keys, order, forward, this), _edge(rows, keys, order, value, forward)
+    found = _with_edges(_dealt(rows, keys).withColumn(name, F.last(value, ignorenulls=True).over(own)), ends, keys)
     return found.withColumn(name, F.coalesce(name, "ordered_end")).drop("ordered_end")
 
 
@@ -92,8 +122,19 @@ def keyframe_values(queries: DataFrame, keyframes: DataFrame, track: str = "trac
 
     Held before the first and after the last keyframe, eased by the right one between, as one row's track of keyframes is.
     """
-    right = keyframes.select(track, time, "value", "easing")
-    both = asof_join(asof_join(queries, right, [track], time, True, "keyframe_before"), right, [track], time, False, "keyframe_after")
+    fits = F.col(track).isNotNull() & F.col(time).isNotNull()
+    one = F.struct(time, "value", "easing")
+    facts = keyframes.where(fits).groupBy(track, F.col(time).alias("ordered_time")).agg(F.struct(F.max(one).alias("last"), F.min(one).alias("first")).alias("ordered_fact"))
+    asked = queries.where(fits).select(F.struct(*(F.col(c) for c in queries.columns)).alias("ordered_row"), track, F.col(time).alias("ordered_time"), F.monotonically_increasing_id().alias("ordered_id"))
+    order = ["ordered_time", "ordered_id"]
+    parts = in_parts(asked.unionByName(facts.withColumn("ordered_id", F.lit(-1).cast("long")), allowMissingColumns=True), [track], order)
+    after = _edge(parts, [track], order, "ordered_fact", False).withColumnRenamed("ordered_end", "after_end")
+    own = carried(parts, [track], order, "ordered_fact", "ordered_before")
+    own = _with_edges(own.withColumn("ordered_after", F.last("ordered_fact", ignorenulls=True).over(_window([track], order, False, True))), after, [track])
+    own = own.where("ordered_row IS NOT NULL").withColumn("ordered_after", F.coalesce("ordered_after", "after_end"))
+    before, now = F.col("ordered_before"), F.col("ordered_before")["last"][time] == F.col("ordered_time")
+    found = own.select("ordered_row.*", before["last"].alias("keyframe_before"), F.when(now, before["first"]).otherwise(F.col("ordered_after")["first"]).alias("keyframe_after"))
+    both = found.unionByName(queries.where(~fits), allowMissingColumns=True)
     low, high = F.col("keyframe_before"), F.col("keyframe_after")
     inside = between(low, high, F.col(time))
     value = F.when(low.isNull(), high["value"]).when(high.isNull(), low["value"]).when(high[time] == F.col(time), high["value"]).otherwise(inside)

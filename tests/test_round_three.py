@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shotloom.operators import stores, timeline
+from shotloom.operators import ordered, stores, timeline
 
 
 def test_upsert_takes_one_row_of_repeated_updates(spark):
@@ -46,3 +46,22 @@ def test_plan_matches_in_stages_and_kinds(spark):
     for parts in (None, 5):
         got = timeline.plan(asked, items, parts).orderBy("command_id").collect()
         assert [r.item_ids if r.ok else r.reason for r in got] == list(commands.values())
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PART_ROWS", 100)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit(0)).otherwise(F.col("id")).alias("k"), "id", (F.col("id") % 7).alias("v"))
+    parts = ordered.in_parts(rows, ["k"], ["id"])
+    assert parts.groupBy(ordered.PART).count().agg(F.max("count")).first()[0] < 300
+    sums = ordered.running_sums(parts, ["k"], ["id"], total="v")
+    assert sums.rdd.getNumPartitions() == 30
+    assert sums.where("k = 0").agg(F.max(F.struct("id", "total"))["total"]).first()[0] == sum(i % 7 for i in range(1500))
+    assert sums.where("k > 0 AND total <> v").count() == 0
+
+
+def test_keyframes_over_the_edges_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PART_ROWS", 50)
+    keyframes = spark.range(0, 2000, 400).select(F.lit("t").alias("track_id"), F.col("id").cast("double").alias("time"), (F.col("id") * 2.0).alias("value"), F.lit(None).cast("array<double>").alias("easing"))
+    queries = spark.range(2000).select(F.lit("t").alias("track_id"), F.col("id").cast("double").alias("time"))
+    got = {r.time: round(r.value, 9) for r in ordered.keyframe_values(queries, keyframes).collect()}
+    assert got == {float(t): min(t, 1600) * 2.0 for t in range(2000)}
