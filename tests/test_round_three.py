@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shotloom.operators import ordered, stores, timeline
+from shotloom.sources import adapters as A
 
 
 def test_upsert_takes_one_row_of_repeated_updates(spark):
@@ -65,3 +66,13 @@ def test_keyframes_over_the_edges_of_parts(spark, monkeypatch):
     queries = spark.range(2000).select(F.lit("t").alias("track_id"), F.col("id").cast("double").alias("time"))
     got = {r.time: round(r.value, 9) for r in ordered.keyframe_values(queries, keyframes).collect()}
     assert got == {float(t): min(t, 1600) * 2.0 for t in range(2000)}
+
+
+def test_tasks_over_line_items_follow_the_rows(spark, monkeypatch):
+    path = "/root/testdata/sf0.01"
+    want = sorted(map(tuple, A.load(spark, path, A.ITEMS).select("item_id", "document_id").collect()))
+    monkeypatch.setattr(A, "TASK_ROWS", 2000)
+    items = A.load(spark, path, A.ITEMS).select("item_id", "document_id")
+    assert sorted(map(tuple, items.collect())) == want
+    n = -(-spark.read.parquet(f"{path}/lineitem.parquet").count() // 2000)
+    assert "REPARTITION_BY_NUM" in (plan := items._jdf.queryExecution().executedPlan().toString()) and f", {n})" in plan
