@@ -35,6 +35,18 @@ def test_plan_deals_items_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_plan_deals_items_once_for_parts_of_texts(spark):
+    own = F.when(F.col("item_index") == 5, "Clip 1").when(F.col("item_index") == 6, "tle 7").otherwise(F.col("item_id"))
+    items = _timeline(spark, 2).withColumn("item_id", F.when(F.col("document_id") == 1, own).otherwise(F.col("item_id")))
+    commands = {
+        (0, "delete tle 7"): "Item-7", (0, "delete tle 1"): "ambiguous", (0, "delete clip 1"): "Item-0", (0, "delete nothing-like-this"): "no match", (1, "delete tle 7"): "tle 7", (1, "change speed tle 7 to 2x"): "no match",
+        (1, "delete clip 1"): "Clip 1", (1, "set volume clip 1 to 5%"): "Clip 1", (1, "change speed clip 1 to 2x"): "Item-0", (1, "delete lip"): "Clip 1", (7, "delete tle 7"): "no match",
+    }
+    out = timeline.plan(_asked(spark, [(d, c, 1.0, None, []) for d, c in commands]), items, 3)
+    assert [r.item_ids if r.ok else r.reason for r in out.orderBy("command_id").collect()] == list(commands.values())
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_plan_matches_in_stages_and_kinds(spark):
     commands = {
         (0, "delete ITEM-3", None): "Item-3", (0, "delete title 1", None): "ambiguous", (0, "delete tle 7", None): "Item-7", (0, "delete item 02", None): "Item-1", (0, "set volume item 2 to 5%", None): "Item-5",
