@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from .commit_log import CommitLog
 
 
+def greatest(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, also for null: the greatest by the other columns."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*others)).alias("upsert_row")).select(key, "upsert_row.*") if others else rows.distinct()
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Rows of updates win over rows of base with an equal key. Of several updates of a key one counts, the greatest by their other columns."""
-    others = [c for c in updates.columns if c != key]
-    last = updates.groupBy(key).agg(F.max(F.struct(*others)).alias("upsert_row")).select(key, "upsert_row.*") if others else updates.distinct()
-    return base.join(updates.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    """Rows of updates win over rows of base with an equal key. Of several updates of a key one counts, the greatest by their other columns. Rows of base that no update replaces stay as they are, so a base that repeats keys goes through greatest() first."""
+    return base.join(updates.select(key), key, "left_anti").unionByName(greatest(updates, key), allowMissingColumns=True)
 
 
 def replace_by_key(base: DataFrame, updates: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -49,7 +49,7 @@ def graph_upsert(spark, d):
     base = rows.select(F.col("media_no").alias("media_id"), F.col("probed_duration").alias("duration"), F.lit("base").alias("source"))
     new = rows.where("media_no % 3 = 1").select(F.col("media_no").alias("media_id"), F.col("requested_duration").alias("duration"), F.lit("update").alias("source"))
     more = rows.where("media_no % 50 = 0").select((F.col("media_no") + 1000000).alias("media_id"), F.col("requested_duration").alias("duration"), F.lit("update").alias("source"))
-    return S.upsert(base, new.unionByName(more), "media_id")
+    return S.upsert(S.greatest(base, "media_id"), new.unionByName(more), "media_id")
 
 
 @query("sk_replace_shots", _SHOTS + " SELECT media_id, shot_id, 'old' AS version FROM s WHERE CAST(substr(media_id, 2) AS BIGINT) % 3 <> 0 UNION ALL SELECT media_id, shot_id, 'new' FROM s WHERE CAST(substr(media_id, 2) AS BIGINT) % 6 = 0 AND shot_index % 2 = 0")
