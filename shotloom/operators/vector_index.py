@@ -24,6 +24,12 @@ ROUNDS = 8
 MOST_NUMBERS = 8 << 20
 #: Rows of one file of a cell; a cell of very many vectors is written by many tasks.
 FILE_ROWS = 250_000
+#: Numbers of the vectors and of the queries that a task of search_many holds, 8 and 4 MB as float64, and scores that it computes at a time.
+TASK_NUMBERS, ASKED_NUMBERS, SCORES = 1 << 20, 1 << 19, 1 << 20
+#: Vectors that are worth a task.
+LEAST_ROWS = 1000
+#: More than rounding can change a cosine.
+SLACK = 1e-11
 #: Fixed point of a unit vector's component in sums, so that these don't depend on their order.
 FIXED = 1 << 20
 
@@ -215,50 +221,141 @@ def search_exact(index: VectorIndex, spark: SparkSession, query: list[float], k:
     return top(rows.where(scope) if scope is not None else rows, k)
 
 
+def _shards(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard of each cell and their number: a large cell is cut into shards of up to size rows, small ones after each other share one."""
+    first, parts, shard, room = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), -1, 0
+    for cell, n in enumerate(rows):
+        if n > room:
+            shard, parts[cell], room = shard + 1, -(-n // size), size
+        first[cell], room = max(shard, 0), room - n
+        if parts[cell] > 1:
+            shard, room = shard + int(parts[cell]) - 1, 0
+    return first, parts
+
+
+def _first(k: int, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the k best of each query, by query; a score that is no number is above all, as Spark and SQL have it, ties go by id."""
+    order = np.lexsort((ids, -np.where(np.isnan(score), np.inf, score), query))
+    own = query[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def _dots(x: np.ndarray, q: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Products of the columns at of x and by of q, summed one position after the other, so that equal vectors have equal products."""
+    total = np.zeros(len(at))
+    for a, b in zip(x, q, strict=True):
+        total += a[at] * b[by]
+    return total
+
+
+def _best_of(vectors, asked, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in asked, vec_id, score) of the k nearest of vectors (vec_id, vector, norm, cell) for each row of asked (query, cells).
+
+    Equal vectors of a cell are one and give their k least ids. A matrix product finds what may be among the k, within the error of
+    rounding; these are computed again, so that neither copies nor the order of rows change a score.
+    """
+    import pyarrow as pa
+
+    x, q = (_rows(t.column(c)).reshape(-1, dim) for t, c in ((vectors, "vector"), (asked, "query")))
+    ids, cells = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
+    if not len(x) or not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    _, at, one = np.unique(np.column_stack([cells, x]).view(np.dtype((np.void, 8 * (dim + 1)))).ravel(), return_index=True, return_inverse=True)
+    kept = _first(k, one, np.zeros(len(ids)), ids)
+    ids, start, count = ids[kept], np.searchsorted(one[kept], np.arange(len(at))), np.bincount(one[kept], minlength=len(at))
+    x, norms, cells = x[at], vectors.column("norm").to_numpy()[at], cells[at]
+    own, cell = np.unique(cells, return_inverse=True)
+    columns, odd = np.ascontiguousarray(x.T), ~np.isfinite(norms)
+    lists = asked.column("cells")
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    wanted, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+    def near(part, sizes, asks):
+        """Pairs that may be among the k of a query, by cells with the same queries."""
+        kinds, kind = (asks[:, :1], np.zeros(len(own), np.int64)) if asks.all() else np.unique(asks, axis=1, return_inverse=True)
+        kind = kind.ravel()
+        for g in range(kinds.shape[1]):
+            who, rows = np.flatnonzero(kinds[:, g]), np.flatnonzero(kind[cell] == g)
+            if not len(who):
+                continue
+            rough = part[who] @ (x if len(rows) == len(x) else x[rows]).T
+            rough /= norms[rows]
+            rough /= sizes[who, None]
+            if odd[rows].any():
+                rough[:, odd[rows]] = -np.inf
+            least = np.partition(rough, -k, axis=1)[:, -k, None] if len(rows) > k else -np.inf
+            i, j = np.nonzero(~(rough < least - SLACK) | odd[rows])
+            yield who[i], rows[j]
+
+    out, step = [], max(1, SCORES // len(x))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        turned = np.ascontiguousarray(part.T)
+        sizes = np.sqrt(_dots(turned, turned, *[np.arange(len(part))] * 2))
+        sizes[sizes == 0] = 1.0
+        cut = ends[a : a + step + 1]
+        mine = wanted[cut[0] : cut[-1]]
+        place = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+        here = own[place] == mine
+        asks = np.zeros((len(part), len(own)), bool)
+        asks[np.repeat(np.arange(len(part)), np.diff(cut))[here], place[here]] = True
+        pairs = list(near(part, sizes, asks))
+        if not pairs:
+            continue
+        i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        score = _dots(columns, turned, j, i) / (norms[j] * sizes[i])
+        best = _first(k, i, score, ids[start[j]])
+        i, j, score = i[best], j[best], score[best]
+        each = np.repeat(np.arange(len(j)), count[j])
+        found = ids[start[j][each] + np.arange(len(each)) - (np.cumsum(count[j]) - count[j])[each]]
+        best = _first(k, i[each], score[each], found)
+        out.append((a + i[each][best], found[best], score[each][best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, vec_id, score, rank) for all of queries (query_id, vector), each against its probes nearest cells.
 
-    Cells are cut into chunks of up to FILE_ROWS vectors and queries into blocks, which meet by cell: a task holds
-    one chunk and one block, and hands on k rows for each query.
+    Cells are dealt to shards of up to TASK_NUMBERS numbers and queries to blocks of up to ASKED_NUMBERS. A query goes once to each
+    shard of its cells, with their names: a task holds one shard and one block, whatever the number of cells, and hands on k rows for each query.
     """
     spark, dim = queries.sparkSession, index.centres.shape[1]
     held, centres = index.rows > 0, index.centres
+    each = -(-int(index.rows.sum()) // spark.sparkContext.defaultParallelism)  # small tables occupy all cores, too
+    first, parts = _shards(index.rows, max(1, min(TASK_NUMBERS // max(1, dim), max(LEAST_ROWS, each))))
+    # queries that are dealt at a time
+    step = max(1, ASKED_NUMBERS // max(1, dim * int((first + parts).max(initial=1)), len(centres)))
 
     def probed(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             dots = np.where(held, _units(batch.column(1)) @ centres.T, -np.inf)
             take = np.argsort(-dots, axis=1, kind="stable")[:, : min(probes, int(held.sum()))]
-            rows = pa.array(np.repeat(np.arange(len(dots)), take.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(take.ravel().astype(np.int32))], ["query_id", "query", "cell"])
+            cell = take.ravel()
+            each = np.repeat(np.arange(len(cell)), parts[cell])
+            shard = first[cell][each] + np.arange(len(each)) - (np.cumsum(parts[cell]) - parts[cell])[each]
+            row = each // max(1, take.shape[1])
+            order = np.lexsort((shard, row))
+            row, shard, cell = row[order], shard[order], cell[each][order]
+            new = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(shard, prepend=-1))
+            rows, cells = pa.array(row[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shard[new].astype(np.int32)), cells], ["query_id", "query", "shard", "cells"])
 
     def scores(key, vectors, asked):
         import pyarrow as pa
 
-        x, q = (_rows(t.column(c)).reshape(-1, dim) for t, c in ((vectors, "vector"), (asked, "query")))
-        ids, norms = vectors.column("vec_id").to_numpy(), vectors.column("norm").to_numpy()
-        out = ([], [], [])
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            dots = (part @ x.T) / norms / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-300)
-            for i, row in enumerate(dots):
-                order = np.lexsort((ids, -row))[:k]
-                for c, v in zip(out, (np.full(len(order), a + i), ids[order], row[order]), strict=True):
-                    c.append(v)
-        at, vec, score = (np.concatenate(c) if c else np.zeros(0) for c in out)
-        return pa.table([asked.column("query_id").take(pa.array(at.astype(np.int64))), pa.array(vec.astype(np.int64)), pa.array(score.astype(np.float64))], ["query_id", "vec_id", "score"])
+        at, vec, score = _best_of(vectors, asked, dim, k)
+        return pa.table([asked.column("query_id").take(pa.array(at)), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    chunks = max(1, int(-(-index.rows.max(initial=1) // FILE_ROWS)))
-    blocks = max(1, queries.count() // 4096)
-    asked = queries.where(F.size("vector") == dim).select("query_id", "vector").mapInArrow(probed, f"query_id {kind}, query array<double>, cell int")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    vectors = index.table(spark).select("vec_id", "vector", "norm", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    blocks = max(1, -(-queries.count() // max(1, ASKED_NUMBERS // max(1, dim))))
+    asked = queries.where(F.size("vector") == dim).select("query_id", "vector").mapInArrow(probed, f"query_id {kind}, query array<double>, shard int, cells array<int>")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dealt = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(held).tolist()], "cell int, first int, parts int")
+    vectors = index.table(spark).select("vec_id", "vector", "norm", "cell").join(F.broadcast(dealt), "cell")
+    vectors = vectors.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")).drop("first", "parts")
     vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    by = ["cell", "chunk", "block"]
-    found = vectors.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(scores, f"query_id {kind}, vec_id long, score double")
+    found = vectors.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(scores, f"query_id {kind}, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
